@@ -7,8 +7,9 @@
    partner at the threshold must share a hash. Hashes of one document fill prefixes but cannot match, so most
    documents leave nothing. Equal sets are one class from here on.
 3. Classes with a common prefix hash are candidates if the length and positional filters let them pass. To avoid
-   all pairs of a large group, each prefix hash first proposes only (smallest class, other class) pairs; these are
-   verified once each (suffix filter, then the exact overlap) and joined to components. Then, for hashes whose
+   all pairs of a large group, each prefix hash first proposes only pairs with one class, the one that shares most
+   of its prefix (an original has all of its hashes in its copies, a copy has some of its own); these are verified
+   once each (suffix filter, then the exact overlap) and joined to components. Then, for hashes whose
    classes still lie in different components, all remaining pairs across components are verified the same way.
    A pair inside one component cannot change the result, so the components are exact.
 """
@@ -259,8 +260,8 @@ def link_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int
     """(rows, roots) for docs (doc_id, text): rows (doc_id, n, key), one per row; roots (key, root) of linked classes."""
     meta = materialize(prefixes(docs, k, percent, chunk), "jaccard-prefixes")
     classes = meta.filter("n > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "prefix"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("x")).select("key", "x.doc_id", "x.n", "x.prefix")
-    posted = materialize(classes.filter(F.size("prefix") > 0).select("key", "doc_id", "n", F.inline("prefix")), "jaccard-postings")
-    low = posted.groupBy("h").agg(F.min(F.struct("key", "n", "pos")).alias("b"), F.count("*").alias("m")).filter("m > 1").select(F.col("h").alias("h_"), "b")
+    posted = materialize(classes.filter(F.size("prefix") > 0).select("key", "doc_id", "n", F.size("prefix").alias("shared"), F.inline("prefix")), "jaccard-postings")
+    low = posted.groupBy("h").agg(F.min(F.struct(-F.col("shared"), "key", "n", "pos")).alias("b"), F.count("*").alias("m")).filter("m > 1").select(F.col("h").alias("h_"), "b")
     star = posted.withColumn("a", F.struct("n", "pos")).join(low, F.col("h") == F.col("h_")).filter(F.col("key") != F.col("b.key")).filter(_passes(percent, "a", "b")).select(F.col("b.key").alias("u"), F.col("key").alias("v")).distinct()
     star = materialize(star, "jaccard-star")
     names = posted.select("key", "doc_id").distinct()
