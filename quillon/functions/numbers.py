@@ -67,7 +67,7 @@ def seats_stored(listed, total) -> Column:
 def party_size(x, default: int = 2) -> Column:
     """First number of a text, 1 at least; the default if there is none."""
     n = F.nullif(F.regexp_extract(F.coalesce(_c(x).cast("string"), F.lit("")), "([0-9]+)", 1), F.lit("")).try_cast("int")
-    return F.coalesce(F.greatest(F.lit(1), n), F.lit(default)) if default else F.greatest(F.lit(1), n)
+    return F.when(n.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(1), n))
 
 
 def money_range(low, high, sign: str = "¥") -> Column:
