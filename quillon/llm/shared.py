@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.sources.shared import materialize, shared_dir  # noqa: F401
+from quillon.sources.shared import discard, materialize, shared_dir  # noqa: F401
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
