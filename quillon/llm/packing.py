@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillon.llm.shared import batch, id_and_text, pieces
-from quillon.llm.tokens import ChunkIds
+from quillon.llm.tokens import chunk_ids
 
 LENGTH = 4096
 #: Attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
@@ -65,7 +65,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str =
     def run(batches):
         from pyspark import TaskContext
 
-        ids, end = ChunkIds(vocabulary), end_id.to_bytes(4, "little")
+        ids, end = chunk_ids(vocabulary), end_id.to_bytes(4, "little")
         base, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def pack():
@@ -80,8 +80,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str =
             return batch(schema, list(zip(*rows)) if rows else [[]] * len(schema))
 
         for b in pieces(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                held.append((doc, ids.text(text.as_py()) + end))
+            for doc, raw in zip(b.column(0).to_pylist(), ids.texts(b.column(1).to_pylist())):
+                held.append((doc, raw + end))
                 size += len(held[-1][1]) // 4
                 if size >= window:
                     yield pack()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import batch, id_and_text, pieces, shared_dir
-from quillon.llm.tokens import ChunkIds, library
+from quillon.llm.tokens import chunk_ids, library
 
 #: Ids in a sequence; sequences in a record batch.
 LENGTH, ROWS = 2048, 256
@@ -121,7 +121,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
         part, writer = TaskContext.get().partitionId(), None
         store, inner = _store(path)
         mine, final = f"{inner}/_{part}-{uuid.uuid4().hex}", f"{inner}/part-{part:06d}"
-        ids, end, start, n_docs = ChunkIds(vocabulary, width), end_id.to_bytes(width, "little"), 0, 0
+        ids, end, start, n_docs = chunk_ids(vocabulary, width), end_id.to_bytes(width, "little"), 0, 0
         kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         for b in pieces(batches):
             if writer is None:
@@ -129,8 +129,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
                 sinks = [store.open_output_stream(f"{mine}.arrow"), store.open_output_stream(f"{mine}.index.arrow")]
                 writer, index = SequenceWriter(sinks[0], width, length, rows), pa.ipc.new_stream(sinks[1], kind)
             found = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = ids.text(text.as_py()) + end
+            for doc, raw in zip(b.column(0).to_pylist(), ids.texts(b.column(1).to_pylist())):
+                raw += end
                 writer.add(raw)
                 found.append((doc, start, len(raw) // width))
                 start += len(raw) // width

@@ -11,10 +11,12 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
+
 from quillon.llm.textwork import utf8
 
 #: Chunks a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -24,22 +26,112 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
-class ChunkIds(dict):
-    """chunk (bytes) -> its ids as little-endian unsigned integers of `width` bytes."""
+@lru_cache(maxsize=2)
+def specification(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
-    def __init__(self, path: str, width: int = 4):
-        self.tok, self.width = library(path), width
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.tok.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        value = self[chunk] = b"".join(i.to_bytes(self.width, "little") for i in ids)
-        return value
+def byte_alphabet() -> dict[str, int]:
+    """Character -> byte of byte-level vocabularies: printable bytes stand for themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+#: Stands for the word end in the merge engine's bytes; chunks that hold it go to the library.
+END = b"\x01"
+
+
+@lru_cache(maxsize=2)
+def merge_engine(path: str):
+    """(engine, whether an id closes a word): the vocabulary for a compiled merge loop, ids as ranks.
+
+    The engine merges the adjacent pair whose joint bytes have the lowest rank. That is the same as merging by the
+    rules' order if every token's own bytes merge to that token, which the tests check for the whole vocabulary. The
+    word end is a byte that joins the last character first, as those tokens have the lowest ranks of all pairs.
+    """
+    import tiktoken
+
+    model, of = specification(path)["model"], byte_alphabet()
+    suffix = model["end_of_word_suffix"]
+    ranks, ends = {}, np.zeros(max(model["vocab"].values()) + 1, bool)
+    special = {t["content"] for t in specification(path)["added_tokens"]}
+    for token, i in model["vocab"].items():
+        if token in special:
+            continue
+        closed = token.endswith(suffix)
+        raw = bytes(of[c] for c in (token[: -len(suffix)] if closed else token))
+        ranks[raw + END if closed else raw] = i
+        ends[i] = closed
+    return tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={}), ends
+
+
+class ChunkIds:
+    """Ids of texts as little-endian unsigned integers of `width` bytes.
+
+    Words of letters and simple punctuation of Latin scripts (below U+0250) are lower-cased and cut here and merged
+    by the engine, all new ones of a batch at once; every other chunk (special strings, other scripts, capital
+    dotted I, decomposed characters, the end byte, over 200 bytes) goes through the library as it is.
+    """
+
+    def __init__(self, path: str, width: int = 4):
+        import regex
+
+        self.tok, self.width, self.dtype = library(path), width, np.dtype(f"<u{width}")
+        self.engine, self.ends = merge_engine(path)
+        self.known: dict[bytes, bytes] = {}
+        self.letters = re.compile(rb"[A-Za-z]{1,200}\Z").match
+        self.simple = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]{1,100}\\Z").match
+        pattern = specification(path)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern).findall
+
+    def _learn(self, new: list[bytes]) -> None:
+        words, counts, chunks = [], [], []
+        for chunk in new:
+            if self.letters(chunk):
+                words.append(chunk.lower().decode())
+                counts.append(1)
+                chunks.append(chunk)
+                continue
+            text = chunk.decode("utf-8", "surrogatepass")
+            if b"<|" not in chunk and self.simple(text):
+                found = self.pieces(text.lower())
+                words += found
+                counts.append(len(found))
+                chunks.append(chunk)
+            else:
+                self.known[chunk] = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        if not words:
+            self.known.update((c, b"") for c in chunks)
+            return
+        ids = np.array(self.engine.encode_ordinary("\x01".join(words) + "\x01"), np.int64)
+        after = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))  # where each word's ids begin
+        cuts = (after[np.concatenate(([0], np.cumsum(counts)))] * self.width).tolist()
+        raw = ids.astype(self.dtype).tobytes()
+        self.known.update(zip(chunks, (raw[a:z] for a, z in zip(cuts, cuts[1:]))))
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, in order; null is empty."""
+        split = [utf8(t).split() for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = words
+        if new:
+            self._learn(list(new))
+        get = self.known.__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
     def text(self, text: str | None) -> bytes:
-        """Ids of a whole text; null is empty."""
-        return b"".join(map(self.__getitem__, utf8(text).split()))
+        return self.texts([text])[0]
+
+
+@lru_cache(maxsize=2)
+def chunk_ids(path: str, width: int = 4) -> ChunkIds:
+    """The worker's ChunkIds; what it remembers serves its later tasks too."""
+    return ChunkIds(path, width)
 
 
 class MergeCounter(dict):
@@ -51,8 +143,7 @@ class MergeCounter(dict):
     """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = specification(path)
         model = spec["model"]
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
@@ -107,3 +198,9 @@ class MergeCounter(dict):
 
     def text(self, text: str | None) -> int:
         return sum(map(self.__getitem__, utf8(text).split()))
+
+
+@lru_cache(maxsize=2)
+def merge_counter(path: str) -> MergeCounter:
+    """The worker's MergeCounter; what it remembers serves its later tasks too."""
+    return MergeCounter(path)
