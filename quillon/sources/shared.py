@@ -8,13 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """Path with the scheme that Hadoop's settings give it, so that other readers open the same store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests), a temporary one of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return qualified(spark, found.rstrip("/"))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
