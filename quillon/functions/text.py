@@ -117,42 +117,63 @@ def overlap_score(a, b) -> Column:
     return F.when(least == 0, F.lit(0.0)).otherwise(token_overlap(a, b) / most)
 
 
-def strip_suffix(x, words: Sequence[str], passes: int = 3) -> Column:
-    """Drop one of the words at the end, at most `passes` times."""
-    out = compact_space(x)
+#: What a branch suffix looks like at the end of a name.
+BRANCH_SUFFIXES = (r"[\s　]*[（(].*?[)）]$", r"[\s　]+(?:本店|支店|新店|別邸|別館|離れ)$", r"[\s　]+\S{1,10}[店舗館]$")
+
+
+def strip_suffix(x, patterns: Sequence[str] = BRANCH_SUFFIXES, passes: int = 3) -> Column:
+    """Drop what matches a pattern at the end, at most `passes` times."""
+    out = F.trim(F.coalesce(_c(x), F.lit("")))
     for _ in range(passes):
-        out = F.regexp_replace(out, r"(?i)[\s\-,]+(?:" + "|".join(words) + r")\s*$", "")
+        out = F.trim(F.regexp_replace(out, "|".join(patterns), ""))
     return out
 
 
 def tidy_address(x, country=None) -> Column:
-    """Parts between commas, trimmed, no empty ones, no repeats in a row, without a trailing country."""
-    parts = F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), r"\s*[,;|]\s*"), lambda p: compact_space(p)), lambda p: p != "")
-    parts = collapse_runs(parts)
+    """Parts between commas or " / ", trimmed, no empty ones, no repeats in a row (case aside), without a trailing
+    country."""
+    text = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\s*/\s*", ", ")
     if country is not None:
-        last = F.element_at(parts, -1)
-        parts = F.when((F.size(parts) > 1) & (F.lower(last) == F.lower(_c(country))), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    return F.array_join(parts, ", ")
+        tail = F.concat(F.lit(r"(?i),?\s*\Q"), _c(country), F.lit(r"\E\s*$"))
+        text = F.when(F.coalesce(_c(country), F.lit("")) != "", F.regexp_replace(text, tail, F.lit(""))).otherwise(text)
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    kept = F.filter(parts, lambda p, i: (i == 0) | (F.lower(p) != F.lower(F.get(parts, i - 1))))
+    return F.array_join(kept, ", ")
+
+
+#: Tokens that are postcodes.
+POSTCODE = r"[0-9]{4,6}|[a-z][0-9][a-z][0-9][a-z][0-9]|[a-z]{1,2}[0-9][a-z0-9]?[0-9][a-z]{2}"
 
 
-def canonical_address(x, country, postcode: str = r"[a-z]?[0-9]{4,6}") -> Column:
+def canonical_address(x, country, postcode: str = POSTCODE) -> Column:
     """Shortened address without the country's tokens and without postcodes."""
     words = F.split(shorten_address(x), " ")
-    return F.array_join(F.filter(words, lambda w: (w != "") & ~F.array_contains(tokens(country), w) & ~w.rlike(f"^(?:{postcode})$")), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~F.array_contains(F.split(shorten_address(country), " "), w) & ~w.rlike(f"^(?:{postcode})$")), " ")
 
 
 def digits(x) -> Column:
     return F.regexp_replace(F.coalesce(_c(x), F.lit("")), "[^0-9]", "")
 
 
-def phone_variants(x, country_code: str, trunk: str = "0") -> Column:
-    """Distinct spellings of a phone number: digits, local with trunk prefix, international, common hyphenations."""
+#: Digits in the first two of three groups of a phone number, by its length.
+PHONE_GROUPS = {10: ((2, 4), (3, 3), (4, 2)), 11: ((3, 4), (4, 3), (5, 2))}
+
+
+def phone_variants(x, country_code: str = "81", trunk: str = "0") -> Column:
+    """Distinct spellings of a phone number in order: local digits (for an international one of 11 digits or more), in
+    groups with hyphens and blanks, then the digits as they are and in groups."""
     d = digits(x)
-    local = F.when(d.startswith(country_code), F.concat(F.lit(trunk), F.substring(d, len(country_code) + 1, 30))).otherwise(d)
-    n = F.length(local)
-    cut = lambda a, b: F.concat(F.substring(local, F.lit(1), F.lit(a)), F.lit("-"), F.substring(local, F.lit(a + 1), F.lit(b)), F.lit("-"), F.substring(local, F.lit(a + b + 1), F.lit(30)))
-    out = F.array(d, local, F.concat(F.lit("+" + country_code), F.substring(local, 2, 30)), F.when(n >= 10, cut(2, 4)), F.when(n >= 10, cut(3, 3)), F.when(n >= 11, cut(3, 4)), F.when(n >= 9, cut(4, 2)))
-    return F.when(d == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(out, lambda v: v.isNotNull())))
+    local = F.when(d.startswith(country_code) & (F.length(d) >= 11), F.concat(F.lit(trunk), F.substring(d, len(country_code) + 1, 30)))
+
+    def grouped(v):
+        out = []
+        for n, cuts in PHONE_GROUPS.items():
+            for a, b in cuts:
+                parts = [F.substring(v, 1, a), F.substring(v, a + 1, b), F.substring(v, a + b + 1, 30)]
+                out += [F.when(F.length(v) == n, F.concat_ws(sep, *parts)) for sep in ("-", " ")]
+        return out
+
+    return F.array_distinct(F.filter(F.array(local, *grouped(local), d, *grouped(d)), lambda v: v.isNotNull() & (v != "")))
 
 
 def address_blocks(x) -> Column:
@@ -160,10 +181,18 @@ def address_blocks(x) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(r"([0-9]+(?:-[0-9]+)*)"), 1)
 
 
+def primary_block(x) -> Column:
+    """The first hyphenated number group, else the first; "" if there is none."""
+    b = address_blocks(x)
+    return F.coalesce(F.get(F.filter(b, lambda t: t.contains("-")), F.lit(0)), F.get(b, F.lit(0)), F.lit(""))
+
+
 def blocks_match(a, b) -> Column:
-    """Whether a hyphenated number group of one side occurs in the other, or both share one."""
-    long = lambda x: F.filter(address_blocks(x), lambda t: t.contains("-"))
-    return F.arrays_overlap(long(a), long(b)) | F.exists(long(a), lambda t: F.coalesce(_c(b), F.lit("")).contains(t)) | F.exists(long(b), lambda t: F.coalesce(_c(a), F.lit("")).contains(t))
+    """Whether both sides share a hyphenated number group, or one side's groups, joined, contain the other's."""
+    x, y = address_blocks(a), address_blocks(b)
+    long = lambda t: F.filter(t, lambda v: v.contains("-"))
+    j, k = F.array_join(x, " "), F.array_join(y, " ")
+    return (j != "") & (k != "") & (F.arrays_overlap(long(x), long(y)) | j.contains(k) | k.contains(j))
 
 
 def natural_list(xs, word: str = "and") -> Column:
@@ -269,13 +298,29 @@ def map_coordinates(x) -> Column:
     return F.coalesce(*[F.when(v.rlike(p), F.struct(F.regexp_extract(v, p, 1).cast("double").alias("lat"), F.regexp_extract(v, p, 2).cast("double").alias("lng"))) for p in patterns])
 
 
+#: Path parts of booking pages.
+BOOKING_PATHS = ("reserv", "book", "booking", "contact", "module", "gift", "find-a-table", "new-events")
+
+
+def is_booking_url(x) -> Column:
+    return F.lower(F.coalesce(_c(x), F.lit(""))).rlike("|".join(BOOKING_PATHS))
+
+
 def url_ladder(x, limit: int = 8) -> Column:
-    """https form of a URL, then its parent folders, then the root; distinct, at most `limit`."""
-    base = F.concat(F.lit("https://"), url_host(x))
-    parts = F.filter(F.split(F.coalesce(F.try_parse_url(_c(x), F.lit("PATH")), F.lit("")), "/"), lambda p: p != "")
+    """Addresses to try for a URL: itself without fragment, its https form, the roots if it is a booking page, its
+    parent folders from the nearest on and the roots, https before http; distinct, at most `limit`."""
+    url = F.regexp_replace(compact_space(x), "#.*$", "")
+    host, path = F.try_parse_url(url, F.lit("HOST")), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    own = F.when(path == "", F.regexp_replace(url, r"^([a-zA-Z]+://[^/?]*)", "$1/")).otherwise(url)
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
     n = F.size(parts)
-    steps = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(base, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n - i), "/")))
-    return F.when(url_host(x) != "", F.slice(F.array_distinct(steps), 1, limit)).otherwise(F.array().cast("array<string>"))
+    folder = lambda i: F.when(i == 0, F.lit("/")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    at = lambda scheme, tail: F.concat(F.lit(scheme + "://"), host, tail)
+    parents = F.when(n > 0, F.flatten(F.transform(F.sequence(n - 1, F.lit(0), F.lit(-1)), lambda i: F.array(at("https", folder(i)), at("http", folder(i)))))).otherwise(F.array().cast("array<string>"))
+    roots = F.array(at("https", F.lit("/")), at("http", F.lit("/")))
+    first = F.array(own, F.when(own.startswith("http://"), F.concat(F.lit("https://"), F.substring(own, 8, 10_000))))
+    steps = F.concat(first, F.when(is_booking_url(own), roots).otherwise(F.array().cast("array<string>")), parents, roots)
+    return F.when(host.isNull(), F.filter(F.array(own), lambda v: v != "")).otherwise(F.slice(F.array_distinct(F.array_compact(steps)), 1, limit))
 
 
 @batch_udf("double")

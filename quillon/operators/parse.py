@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.batch import batch_udf
-from quillon.functions.text import _c, compact_space, match_text
+from quillon.functions.text import _c, compact_space, is_booking_url, match_text
 
 SIGNALS = "title string, description string, keywords string, headings array<string>, paragraphs array<string>, jsonld array<string>"
 
@@ -98,26 +98,60 @@ def jsonld_objects(blocks: pd.Series) -> pd.Series:
 
 
 #: JSON-LD types of venues.
-VENUE_TYPES = ("restaurant", "foodestablishment", "barorpub", "cafeorcoffeeshop", "bakery", "winery", "brewery", "fastfoodrestaurant", "icecreamshop", "localbusiness", "hotel")
+VENUE_TYPES = ("restaurant", "foodestablishment", "localbusiness", "barorpub", "cafeorcoffeeshop", "bakery", "hotel")
 
 
 def venue_signals(pages: DataFrame, key: str, objects: str) -> DataFrame:
     """(key, name, description, cuisines) of the first venue-like JSON-LD object of each page."""
-    rows = pages.select(key, F.posexplode(objects).alias("i", "o")).filter(F.exists("o.type", lambda t: F.lower(t).isin(list(VENUE_TYPES))))
+    rows = pages.select(key, F.posexplode(objects).alias("i", "o")).filter(F.exists("o.type", lambda t: F.regexp_replace(F.lower(F.trim(t)), "^#+", "").isin(list(VENUE_TYPES))))
     first = rows.groupBy(key).agg(F.min_by("o", "i").alias("o"))
     cuisine = F.get_json_object("o.json", "$.servesCuisine")
     return first.select(key, "o.name", F.get_json_object("o.json", "$.description").alias("description"), F.coalesce(F.from_json(cuisine, "array<string>"), F.array_compact(F.array(cuisine))).alias("cuisines"))
 
 
+#: What notices, opening hours and addresses say, and what descriptions say.
+NOTICE_WORDS = ("embeddable widget", "book online", "book your table", "book a table", "book now", "make a booking", "reserve a table", "reserve now", "find a table", "cookie", "privacy policy", "javascript", "sign in", "coming soon", "skip to content", "accept all", "sign up with your email address", "receive news and updates", "subscribe")
+HOURS_WORDS = (" monday ", " tuesday ", " wednesday ", " thursday ", " friday ", " saturday ", " sunday ", " hours ", " until late", "open daily", "info@", "@")
+ADDRESS_WORDS = (" avenue", " ave", " street", " st ", " road", " rd ", " boulevard", " blvd", " floor", " level", " lane")
+CONTENT_WORDS = ("menu", "tasting", "seasonal", "seafood", "wine", "cocktail", "sake", "bar", "grill", "charcoal", "rooftop", "harbour", "beach", "ocean", "degustation", "omakase", "steak", "restaurant", "brasserie", "izakaya", "produce", "ingredient", "chef", "dining")
+#: Points of a text by where it was found.
+SOURCE_POINTS = {"meta": 18, "og:description": 16, "twitter:description": 14, "jsonld": 16, "visible_text": 12}
+
+
+def _any(text: Column, words) -> Column:
+    """Whether any of the words occurs: one pattern, so the generated code stays small."""
+    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
+
+
+def meaningful_text(text, title, name) -> Column:
+    """At least eight words; no notice, no opening hours or digits without a content word, no address, no two weekdays
+    or clock times, and neither the title nor the name itself."""
+    t = compact_space(text)
+    low, same = F.lower(t), lambda other: F.lower(compact_space(other))
+    padded, content = F.concat(F.lit(" "), low, F.lit(" ")), _any(low, CONTENT_WORDS)
+    n_digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
+    days = F.regexp_count(low, F.lit(r"\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"))
+    clocks = F.regexp_count(low, F.lit(r"\b[0-9]{1,2}(?::[0-9]{2})?\s*(?:am|pm)\b"))
+    bad = _any(low, NOTICE_WORDS) | (_any(padded, HOURS_WORDS) & ~content) | (days >= 2) | (clocks >= 2) | (_any(padded, ADDRESS_WORDS) & (n_digits >= 3)) | ((n_digits >= 8) & ~content)
+    return (F.size(F.split(t, " ")) >= 8) & ~bad & (low != same(title)) & (low != same(name))
+
+
 def text_score(text, title, name, bonus: float | Column = 0.0) -> Column:
-    """Score of a text candidate: length up to 240 characters, sentences, the record's name; menus and notices cost."""
+    """Score of a text candidate, -100 if it says nothing: 20, the source's points, 10 for a content word, 3 for the
+    record's name, 8 for 10 to 45 words, -6 beyond 80."""
     t = compact_space(text)
-    n = F.length(t)
-    low = F.lower(t)
-    words = F.size(F.split(t, " "))
-    score = F.least(n, F.lit(240)) / 40 + F.least(F.regexp_count(t, F.lit(r"[.!?](\s|$)")), F.lit(4)) + F.when(match_text(t).contains(match_text(name)) & (match_text(name) != ""), 2).otherwise(0)
-    score = score - F.when(low.rlike(r"cookie|javascript|copyright|all rights reserved|privacy policy|log ?in|subscribe"), 6).otherwise(0) - F.when(F.regexp_count(t, F.lit(r"\|")) >= 3, 3).otherwise(0) - F.when(match_text(t) == match_text(title), 3).otherwise(0)
-    return F.when((n < 40) | (words < 6), F.lit(-1.0)).otherwise(score + bonus).cast("double")
+    low, words, own = F.lower(t), F.size(F.split(t, " ")), F.lower(compact_space(name))
+    score = F.lit(20) + bonus + F.when(_any(low, CONTENT_WORDS), 10).otherwise(0) + F.when((own != "") & low.contains(own), 3).otherwise(0)
+    score = score + F.when(words.between(10, 45), 8).when(words > 80, -6).otherwise(0)
+    return F.when(meaningful_text(text, title, name), score).otherwise(-100).cast("double")
+
+
+def page_score(title, description, cuisines, keywords, headings, score, url) -> Column:
+    """Score of a page among a record's candidate pages."""
+    there = lambda c, n: F.when(c, n).otherwise(0)
+    some = lambda c: F.size(F.coalesce(_c(c), F.array())) > 0
+    text = lambda c: F.coalesce(_c(c), F.lit("")) != ""
+    return there(text(title), 4) + there(text(description), 25) + there(some(cuisines), 6) + there(some(keywords), 5) + there(some(headings), 3) + F.coalesce(_c(score), F.lit(0)).cast("int") + F.when(~text(url), 0).when(is_booking_url(url), -3).otherwise(4)
 
 
 def best_text(pages: DataFrame, key: str, title: str, name: Column, candidates: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -127,7 +161,7 @@ def best_text(pages: DataFrame, key: str, title: str, name: Column, candidates:
         return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.struct(F.lit(source).alias("source"), t.alias("text"), F.lit(bonus).alias("bonus")))
 
     items = F.concat(*[tagged(s, c, b) for s, (c, b) in candidates.items()])
-    rows = pages.select(key, F.col(title).alias("title_"), name.alias("name_"), F.posexplode(items).alias("i", "c")).withColumn("score", text_score("c.text", "title_", "name_", F.col("c.bonus"))).filter("score >= 0")
+    rows = pages.select(key, F.col(title).alias("title_"), name.alias("name_"), F.posexplode(items).alias("i", "c")).withColumn("score", text_score("c.text", "title_", "name_", F.col("c.bonus"))).filter("score > -100")
     return rows.groupBy(key).agg(F.max_by(F.struct("c.source", "c.text", "score"), F.struct("score", -F.col("i"))).alias("b")).select(key, "b.*")
 
 

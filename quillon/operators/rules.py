@@ -15,8 +15,8 @@ ENGLISH = ("a", "also", "an", "and", "are", "as", "at", "be", "been", "but", "by
 UNAVAILABLE = r"not eligible|permanently closed|temporarily closed|closed for renovation"
 ORDER_RULES = (("special", UNAVAILABLE), ("three_items", r"minimum order of three|three\s*\(3\)"), ("buffet", r"buffet|hotpot"))
 BOOKING_RULES = (("48h", r"48\s*hours?|48h"), ("24h", r"24\s*hours?|24h"), ("phone", r"via phone|by phone|call|contact\s*\+?65|quote"), ("walk_in", r"walk-?ins?"), ("reservation_required", r"reservation"))
-CHILD_RULES = (("not_allowed", r"no children|adults only|children (?:are )?not (?:allowed|permitted)"), ("older_kids_only", r"(?:over|above|from) (?:the age of )?[0-9]+|[0-9]+ (?:years )?(?:and|or) (?:over|older|above)"), ("private_room_only", r"private rooms? only"), ("allowed", r"children (?:are )?welcome|kids? (?:are )?welcome|family[- ]friendly|kids? menu"))
-STATUS_RULES = (("closing_soon", r"not be eligible|last day|closing on"), ("temporarily_closed", r"temporarily closed|renovation"), ("closed", r"permanently closed|ceased operation"))
+#: Venue status by its notes, the first that holds.
+STATUS_RULES = (("closed", "permanently closed"), ("closing_soon", "effective from|not be eligible"), ("temporarily_closed", "temporarily closed"))
 
 
 def first_rule(text, rules: Sequence[tuple[str, str]], otherwise: str | None = None) -> Column:
@@ -89,9 +89,29 @@ def drop_navigation(text) -> Column:
     return out
 
 
-def policy_excerpt(text, words: str = r"child|kid|infant|toddler") -> Column:
-    """First sentence that mentions a topic; null if none does."""
-    return F.get(F.filter(sentences(text), lambda s: F.lower(s).rlike(words)), F.lit(0))
+def policy_excerpt(text, words: Sequence[str] = ("children", "child")) -> Column:
+    """From the first of the words that occurs up to the next full stop; null if none does."""
+    t = compact_space(text)
+    found = [F.nullif(compact_space(F.regexp_extract(t, rf"(?i)({w}[^.]*\.)", 1)), F.lit("")) for w in words]
+    return F.coalesce(*found)
+
+
+def child_policy(note, services) -> Column:
+    """kid_friendly / older_children_only / teens_only / policy_available / unknown from services and a note's age."""
+    tags, t = F.lower(F.array_join(F.coalesce(_c(services), F.array().cast("array<string>")), " ")), F.lower(compact_space(note))
+    age = F.nullif(F.regexp_extract(t, "([0-9]+)", 1), F.lit("")).try_cast("int")
+    return (
+        F.when(tags.contains("child-friendly"), "kid_friendly")
+        .when(tags.contains("children-over12-accepted"), "older_children_only")
+        .when(t == "", "unknown")
+        .when(age <= 6, "kid_friendly")
+        .when(age <= 12, "older_children_only")
+        .when(age > 12, "teens_only")
+        .when(t.contains("elementary school"), "older_children_only")
+        .when(t.contains("junior high") | t.contains("middle school"), "teens_only")
+        .when(t.contains("welcome"), "kid_friendly")
+        .otherwise("policy_available")
+    )
 
 
 def is_junk(text, least: int = 40) -> Column:

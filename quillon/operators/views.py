@@ -139,12 +139,16 @@ def dotted(df: DataFrame, path: str) -> Column:
     return F.col(path)
 
 
-def has_evidence(*texts, least: int = 40) -> Column:
-    """Whether any text is long enough and no junk."""
-    out = F.lit(False)
-    for t in texts:
-        out = out | ~rules.is_junk(t, least)
-    return out
+#: Where a site's own description may come from to count as evidence.
+EVIDENCE_SOURCES = ("meta", "og:description", "twitter:description", "jsonld")
+
+
+def has_evidence(official, tags: Column, press, site, site_source) -> Column:
+    """Whether a record says enough for a description: an official summary, tags, or eight words by the press or by the
+    site's own description from a trusted place."""
+    words = lambda c: F.size(F.filter(F.split(compact_space(c), " "), lambda w: w != ""))
+    own = (words(site) >= 8) & F.coalesce(compact_space(site_source).isin(list(EVIDENCE_SOURCES)), F.lit(False))
+    return (F.coalesce(_c(official), F.lit("")) != "") | (F.size(F.coalesce(tags, F.array())) > 0) | (words(press) >= 8) | own
 
 
 def accept_summary(text, name, cuisines, known_for: Column | None = None) -> Column:

@@ -131,10 +131,9 @@ def url_parts(t):
     return t.pages.select("page_id", text.url_host("url").alias("host"), text.url_depth("url").alias("depth"), text.query_value("url", "utm_source").alias("utm_source"), text.canonical_url("url").alias("canonical"))
 
 
-@carrier(r"SELECT page_id, list_distinct(['https://' || h || '/' || array_to_string(p[1:len(p) - i], '/') FOR i IN range(0, len(p) + 1)])[1:8] IS NOT NULL AS has_ladder, least(8, len(p) + 1) AS n_steps, 'https://' || h || '/' || array_to_string(p, '/') AS first_step, 'https://' || h || '/' AS root FROM (SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]+)', 1), '^www\.', '') AS h, list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages)")
+@carrier(r"WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS h, list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages), l AS (SELECT page_id, list_concat([u], CASE WHEN u LIKE 'http://%' THEN ['https://' || u[8:]] ELSE [] END, flatten([[s || h || '/' || CASE WHEN i = 0 THEN '' ELSE array_to_string(p[1:i], '/') || '/' END FOR s IN ['https://', 'http://']] FOR i IN range(len(p) - 1, -1, -1)])) AS l FROM u) SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:8] AS ladder FROM l")
 def url_ladders(t):
-    ladder = text.url_ladder("url")
-    return t.pages.select("page_id", (F.size(ladder) > 0).alias("has_ladder"), F.size(ladder).alias("n_steps"), F.element_at(ladder, 1).alias("first_step"), F.element_at(ladder, -1).alias("root"))
+    return t.pages.select("page_id", text.url_ladder("url").alias("ladder"))
 
 
 @carrier("SELECT event_id, 'https://x.example/a?k=' || regexp_extract(props, '([0-9]+)', 1) || '&t=' || event_type AS link FROM events")
