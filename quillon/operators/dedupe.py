@@ -73,7 +73,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     share = total.crossJoin(F.broadcast(total.agg(F.sum("c_").alias("t_")))).withColumn("take_", F.greatest(F.lit(least), F.floor(F.lit(n) * F.col("c_") / F.col("t_")))).select(F.col(stratum).alias("s_"), "take_", "c_")
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     cut = F.least(F.lit(1.0), (F.col("take_") * 4 + 64) / F.col("c_"))
-    rows = df.withColumn("h_", h).join(F.broadcast(share), F.col(stratum).eqNullSafe(F.col("s_")))
+    rows = df.withColumn("h_", h).join(share, F.col(stratum).eqNullSafe(F.col("s_")))
     rows = rows.filter(F.conv(F.substring("h_", 1, 8), 16, 10).cast("double") / 4294967296.0 <= cut)
     w = W.partitionBy(stratum).orderBy("h_", key)
     picked = rows.withColumn("r_", F.row_number().over(w)).filter("r_ <= take_")
