@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.shared import batch, id_and_text, materialize, pieces
+from quillon.llm.shared import batch, discard, id_and_text, materialize, pieces
 from quillon.llm.textwork import WordHashes, shingle_set, sorted_overlap, space_words, utf8
 
 #: Words in a shingle; similarity in percent.
@@ -275,12 +275,12 @@ def link_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int
     left = materialize(placed.join(mixed, "h", "left_semi").select("h", "key", "root", "n", "pos"), "jaccard-mixed")
     rest = left.alias("a").join(left.alias("b"), F.expr("a.h = b.h and a.root <> b.root and a.key < b.key")).filter(_passes(percent, "a", "b")).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
     rest = materialize(rest.join(star, ["u", "v"], "left_anti"), "jaccard-rest")
-    if rest.isEmpty():
-        return meta.select("doc_id", "n", "key"), roots.select(F.col("node").alias("key"), "root")
+    discard(sets)
     proposed = rest.select(F.col("u").alias("key")).unionAll(rest.select(F.col("v").alias("key"))).distinct()
     sets = materialize(_sets(docs, names.join(proposed, "key", "left_semi"), k), "jaccard-sets")
-    more = _verified(rest, sets, percent)
-    roots = components(materialize(links.unionAll(more), "jaccard-links"), "jaccard-components")
+    every = materialize(links.unionAll(_verified(rest, sets, percent)), "jaccard-links")
+    first, roots = roots, components(every, "jaccard-components")
+    discard(posted, star, links, left, rest, sets, every, first)
     return meta.select("doc_id", "n", "key"), roots.select(F.col("node").alias("key"), "root")
 
 
