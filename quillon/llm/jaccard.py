@@ -28,7 +28,7 @@ from quillon.llm.textwork import WordHashes, shingle_set, sorted_overlap, space_
 #: Words in a shingle; similarity in percent.
 K, PERCENT = 5, 80
 #: Hashes of a chunk of documents; hashes of a bucket aimed at; bounds of the number of buckets (powers of two).
-CHUNK, BUCKET, BUCKETS = 1_500_000, 1_000_000, (64, 65536)
+CHUNK, BUCKET, BUCKETS = 700_000, 700_000, (64, 65536)
 #: Candidate documents up to which their ids (8 bytes each) are broadcast to fetch their texts; beyond, a join.
 BROADCAST_IDS = 500_000
 #: Local number of a hash that several documents of its chunk have.

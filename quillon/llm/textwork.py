@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
