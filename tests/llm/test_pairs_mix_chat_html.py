@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -169,7 +170,7 @@ def brute_chat(rows):
     turns = {}
     for c, t, r, x in {(c, t, r or "", x or "") for c, t, r, x in rows}:
         turns.setdefault(c, []).append(((t is not None, t or 0), r, x))
-    chats = {c: [(r, x) for _, r, x in sorted(v)] for c, v in turns.items()}
+    chats = {c: [(r, x) for _, r, x in sorted(v, key=lambda t: (t[0], t[1], hashlib.md5(t[2].encode()).hexdigest()))] for c, v in turns.items()}
     order = sorted(chats, key=lambda c: (c is None, c or 0))
     return sorted(str(c) for c in order if not any(d != c and chats[d][: len(chats[c])] == chats[c] and (len(chats[d]) > len(chats[c]) or order.index(d) < order.index(c)) for d in order))
 
