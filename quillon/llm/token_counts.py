@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.shared import batch, id_and_text, pieces
 from quillon.llm.textwork import utf8
-from quillon.llm.tokens import MergeCounter
+from quillon.llm.tokens import merge_counter
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -20,7 +20,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
-        count = MergeCounter(vocabulary)
+        count = merge_counter(vocabulary)
         for b in pieces(batches):
             texts = b.column(1).to_pylist()
             n = [count.text(t) for t in texts]
