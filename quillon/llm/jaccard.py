@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.shared import batch, discard, id_and_text, materialize, pieces
+from quillon.llm.shared import batch, bounded_batches, discard, id_and_text, materialize, pieces, tidy
 from quillon.llm.textwork import WordHashes, shingle_set, sorted_overlap, space_words, utf8
 
 #: Words in a shingle; similarity in percent.
@@ -217,7 +217,7 @@ def prefixes(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int = C
     """(doc_id, n, key, prefix) per row of docs (doc_id, text); key is a digest of the shingle set."""
     words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     buckets = 1 << min(max(words // BUCKET, BUCKETS[0]).bit_length(), BUCKETS[1].bit_length() - 1)
-    sent = docs.mapInArrow(_chunks(buckets, k, chunk), "bucket int, chunk long, kind byte, payload binary")
+    sent = docs.mapInArrow(tidy(_chunks(buckets, k, chunk)), "bucket int, chunk long, kind byte, payload binary")
     back = sent.groupBy("bucket").applyInArrow(_frequencies, "chunk long, bucket int, payload binary")
     return back.groupBy("chunk").applyInArrow(_prefixes(percent), "doc_id long, n long, key binary, prefix array<struct<h:long,pos:int>>")
 
@@ -237,7 +237,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3))]
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "u binary, v binary")
+    return both.mapInArrow(tidy(run), "u binary, v binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -252,12 +252,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             found = [text_shingles(hashes, t.as_py(), k) for t in b.column(1)]
             yield batch(schema, [[_digest(s) for s in found], [s.tobytes() for s in found]])
 
-    made = few.select("doc_id", "text").mapInArrow(run, "key binary, shingles binary")
+    made = few.select("doc_id", "text").mapInArrow(tidy(run), "key binary, shingles binary")
     return made.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
 def link_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(rows, roots) for docs (doc_id, text): rows (doc_id, n, key), one per row; roots (key, root) of linked classes."""
+    bounded_batches(docs.sparkSession)
     meta = materialize(prefixes(docs, k, percent, chunk), "jaccard-prefixes")
     classes = meta.filter("n > 0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "prefix"), F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("x")).select("key", "x.doc_id", "x.n", "x.prefix")
     posted = materialize(classes.filter(F.size("prefix") > 0).select("key", "doc_id", "n", F.size("prefix").alias("shared"), F.inline("prefix")), "jaccard-postings")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import batch, id_and_text, pieces
+from quillon.llm.shared import batch, bounded_batches, id_and_text, pieces, tidy
 from quillon.llm.textwork import WordHashes, utf8, windows
 
 #: Phrases and their labels.
@@ -85,8 +85,9 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int
             values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["key", "grams"])
 
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).cast("string").alias("text")).select(_text_key().alias("key"), "text")
-    rolled = slim.mapInArrow(grams, "key binary, grams array<long>").select("key", F.posexplode("grams").alias("pos", "h"))
+    rolled = slim.mapInArrow(tidy(grams), "key binary, grams array<long>").select("key", F.posexplode("grams").alias("pos", "h"))
     hits = rolled.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "h").select("key", "label", "tlen", "tpos", "pos").distinct()
     diagonals = hits.groupBy("key", "label", "tlen", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_list(F.struct("tpos", "pos")).alias("votes"))
     step = F.expr("case when diagonal - lag(diagonal) over (partition by key, label order by diagonal) <= {0} then 0 else 1 end".format(int(gap)))
@@ -124,7 +125,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield batch(schema, [b.column(0), b.column(1), *(list(c) for c in zip(*rows))] if rows else [[]] * len(schema))
 
     slim = id_and_text(docs, id_col, text_col).select(_text_key().alias("key"), "doc_id", "text")
-    rows = slim.mapInArrow(base, "key binary, doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>")
+    rows = slim.mapInArrow(tidy(base), "key binary, doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>")
     named = F.create_map(*[F.lit(x) for label in templates for x in (label, family(label))])
     spans = license_spans(docs, templates, text_col=text_col, **how).groupBy("key").agg(F.collect_set(named[F.col("label")]).alias("more"), F.max("cover").alias("cover"), F.count("*").alias("n_spans"))
     both = rows.join(spans, "key", "left")

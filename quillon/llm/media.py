@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import batch, id_and_text, pieces
+from quillon.llm.shared import batch, id_and_text, pieces, tidy
 from quillon.llm.textwork import utf8
 
 #: Bytes of a sample: 8 x 8 pixels of three 8-bit channels.
@@ -173,7 +173,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             raw = [utf8(t) for t in b.column(1).to_pylist()]
             yield batch(schema, [b.column(0), [len(r) for r in raw], [write_container(padded(r)) for r in raw]])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 PROBED = "codec string, duration_s double, n_samples long, keyframes array<struct<start:long,size:long>>"
@@ -196,7 +196,7 @@ def probe_media(df: DataFrame, media_col: str = "media") -> DataFrame:
             rest = [b.column(i) for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(rest + more.columns, names=keep + arrow.names)
 
-    return df.mapInArrow(run, f"{fields}{', ' if fields else ''}{PROBED}")
+    return df.mapInArrow(tidy(run), f"{fields}{', ' if fields else ''}{PROBED}")
 
 
 def media_digest(stored: DataFrame) -> DataFrame:
@@ -220,4 +220,4 @@ def media_digest(stored: DataFrame) -> DataFrame:
             rows = [row(*r) for r in zip(*(c.to_pylist() for c in b.columns))]
             yield batch(schema, list(zip(*rows)) if rows else [[]] * len(schema))
 
-    return stored.select("doc_id", "n_bytes", F.col("media")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", F.col("media")).mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

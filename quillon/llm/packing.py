@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.shared import batch, id_and_text, pieces
+from quillon.llm.shared import batch, id_and_text, pieces, tidy
 from quillon.llm.tokens import chunk_ids
 
 LENGTH = 4096
@@ -89,4 +89,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str =
         if held:
             yield pack()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

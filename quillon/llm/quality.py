@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import batch, id_and_text, pieces
+from quillon.llm.shared import batch, bounded_batches, id_and_text, pieces, tidy
 from quillon.llm.textwork import WordHashes, space_words, utf8, windows
 
 #: Bands of raw size / zstandard size by UTF-8 size: (up to so many bytes, lowest, highest ratio). Prose of any
@@ -91,7 +91,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows.append((n, chars, len(_SYMBOLS.findall(raw)), dup_lines(raw), repeat, failed, good and not failed, ratio, share))
             yield batch(schema, [b.column(0), *(list(c) for c in zip(*rows))] if rows else [[]] * len(schema))
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, odd_chunks double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, odd_chunks double")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, chunk_share: float = CHUNK_SHARE, level: int = LEVEL) -> DataFrame:
@@ -99,6 +99,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", bands=BANDS, chunk: int =
 
     Nulls and empty texts go; a repeated row stays or goes as often as it occurs.
     """
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -114,4 +115,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", bands=BANDS, chunk: int =
                 keep.append(good and band_verdict(raw, compress, bands, chunk, chunk_band, chunk_share)[2])
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(tidy(run), docs.withColumn(text_col, F.col(text_col).cast("string")).schema)

@@ -3,14 +3,50 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.sources.shared import discard, materialize, shared_dir  # noqa: F401
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let long texts make smaller Arrow batches: a session setting that changes no results. A smaller one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    size = -1 if now.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system: workers serve many tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """Batch function that releases its memory when its task ends."""
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return call
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, so other columns (of any name) cannot clash."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

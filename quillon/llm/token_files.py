@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import batch, id_and_text, pieces, shared_dir
+from quillon.llm.shared import batch, id_and_text, pieces, shared_dir, tidy
 from quillon.llm.tokens import chunk_ids, library
 
 #: Ids in a sequence; sequences in a record batch.
@@ -144,7 +144,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
             store.move(f"{mine}.index.arrow", f"{final}.index.arrow")
             yield batch(schema, [[part], [f"{path.rstrip('/')}/part-{part:06d}"], [n_docs], [start]])
 
-    made = dealt.mapInArrow(run, "part int, path string, n_docs long, n_tokens long").collect()  # a row per file
+    made = dealt.mapInArrow(tidy(run), "part int, path string, n_docs long, n_tokens long").collect()  # a row per file
     table, before = [], 0
     for r in sorted(made, key=lambda r: r.part):
         table.append((r.part, r.path, r.n_docs, r.n_tokens, before))
@@ -176,7 +176,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         yield batch(schema, [rows.column(0), [base + a for a in at], n, crc])
 
     files = max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return manifest.select("path", "start").repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start").repartition(files).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -16,7 +16,7 @@ import numpy as np
 from quillon.llm.textwork import utf8
 
 #: Chunks a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 
 
 @lru_cache(maxsize=2)
