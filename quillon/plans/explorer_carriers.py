@@ -25,7 +25,7 @@ def explorer_page(t):
     return facets.page(facets.ranked(rows, ("rating", -1.0), ties=["o_orderkey"])).select(*q.columns)
 
 
-@carrier(f"WITH {_RATINGS} SELECT o_orderkey, coalesce(a.rating, CASE WHEN a.id IS NULL THEN b.rating END) AS rating, coalesce(CASE WHEN a.id IS NULL THEN b.review_count ELSE a.review_count END, b.review_count) AS review_count, a.id IS NOT NULL OR b.id IS NOT NULL AS has_rating FROM orders LEFT JOIN r a ON a.id = o_custkey LEFT JOIN r b ON b.id = o_custkey % 100")
+@carrier(f"WITH {_RATINGS} SELECT o_orderkey, coalesce(a.rating, CASE WHEN a.id IS NULL THEN b.rating END) AS rating, coalesce(CASE WHEN a.id IS NULL THEN b.review_count ELSE a.review_count END, b.review_count) AS review_count, a.id IS NOT NULL OR b.id IS NOT NULL AS has_rating FROM orders LEFT JOIN r a ON a.id = o_custkey LEFT JOIN r b ON b.id = o_custkey % 100", longs=("review_count",))
 def rating_alias_lookup(t):
     return lookup.with_rating(t.orders, _ratings(t), "o_custkey", F.col("o_custkey") % 100).select("o_orderkey", "rating", "review_count", "has_rating")
 
@@ -121,12 +121,12 @@ def fuzzy_search(t):
     return t.part.filter(text.fuzzy_match("p_name", "smal wiget")).select("p_partkey")
 
 
-@carrier("SELECT p_partkey, p_name || ' ' || lower(p_brand) || ' ' || lower(p_type) AS search_text, len(list_distinct(string_split(p_name || ' ' || p_name, ' '))) AS n_tokens FROM part")
+@carrier("SELECT p_partkey, p_name || ' ' || lower(p_brand) || ' ' || lower(p_type) AS search_text, len(list_distinct(string_split(p_name || ' ' || p_name, ' '))) AS n_tokens FROM part", longs=("n_tokens",))
 def search_texts(t):
     return t.part.select("p_partkey", text.search_text("p_name", "p_brand", "p_type").alias("search_text"), F.size(text.important_tokens(F.concat_ws(" ", "p_name", "p_name"))).alias("n_tokens"))
 
 
-@carrier(r"SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]+)', 1), '^www\.', '') AS host, len(list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')) AS depth, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS utm_source, 'https://' || regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]+)', 1), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS canonical FROM pages")
+@carrier(r"SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]+)', 1), '^www\.', '') AS host, len(list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')) AS depth, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS utm_source, 'https://' || regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]+)', 1), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS canonical FROM pages", longs=("depth",))
 def url_parts(t):
     return t.pages.select("page_id", text.url_host("url").alias("host"), text.url_depth("url").alias("depth"), text.query_value("url", "utm_source").alias("utm_source"), text.canonical_url("url").alias("canonical"))
 
@@ -158,7 +158,7 @@ def natural_lists(t):
     return t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("x")).select("n_regionkey", text.natural_list("x").alias("listed"))
 
 
-@carrier(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: true)) AS n_lines, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_the, len(list_filter([trim(p) FOR p IN regexp_split_to_array(text, '[\n,;|]+')], lambda p: p <> '')) AS n_parts FROM documents")
+@carrier(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: true)) AS n_lines, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_the, len(list_filter([trim(p) FOR p IN regexp_split_to_array(text, '[\n,;|]+')], lambda p: p <> '')) AS n_parts FROM documents", longs=("n_lines", "n_parts"))
 def split_and_count(t):
     return t.documents.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), text.count_of("text", "the").alias("n_the"), F.size(text.split_values("text")).alias("n_parts"))
 
@@ -166,7 +166,7 @@ def split_and_count(t):
 _LINES = "SELECT doc_id, string_split(text, chr(10)) AS x FROM documents"
 
 
-@carrier(f"SELECT doc_id, len([i FOR i IN range(1, len(x) + 1) IF i = 1 OR x[i] <> x[i - 1]]) AS n_runs, len(list_distinct([lower(v) FOR v IN x])) AS n_distinct FROM ({_LINES})")
+@carrier(f"SELECT doc_id, len([i FOR i IN range(1, len(x) + 1) IF i = 1 OR x[i] <> x[i - 1]]) AS n_runs, len(list_distinct([lower(v) FOR v IN x])) AS n_distinct FROM ({_LINES})", longs=("n_runs", "n_distinct"))
 def runs_in_arrays(t):
     lines = F.split("text", "\n")
     return t.documents.select("doc_id", F.size(text.collapse_runs(lines)).alias("n_runs"), F.size(text.distinct_ignoring_case(lines)).alias("n_distinct"))
@@ -196,7 +196,7 @@ def ordered_rules(t):
     return t.part.select("p_partkey", rule.alias("rule"), rules.all_rules("p_name", (("size", "small"), ("colour", "red|blue"))).alias("keys"))
 
 
-@carrier("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%d/%m/%Y') AS raw, isodow(ts) >= 6 AS weekend, hour(ts) * 60 + minute(ts) AS minutes, CASE WHEN m > 1410 THEN '23:30' ELSE lpad((m // 60)::VARCHAR, 2, '0') || ':' || lpad((m % 60)::VARCHAR, 2, '0') END AS rounded FROM (SELECT *, (floor((hour(ts) * 60 + minute(ts)) / 30 + 0.5) * 30)::BIGINT AS m FROM events)")
+@carrier("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%d/%m/%Y') AS raw, isodow(ts) >= 6 AS weekend, hour(ts) * 60 + minute(ts) AS minutes, CASE WHEN m > 1410 THEN '23:30' ELSE lpad((m // 60)::VARCHAR, 2, '0') || ':' || lpad((m % 60)::VARCHAR, 2, '0') END AS rounded FROM (SELECT *, (floor((hour(ts) * 60 + minute(ts)) / 30 + 0.5) * 30)::BIGINT AS m FROM events)", longs=("minutes",))
 def date_and_time_texts(t):
     raw, clock = F.date_format("ts", "dd/MM/yyyy"), F.date_format("ts", "HH:mm")
     return t.events.select("event_id", dates.parse_date_text(raw).alias("day"), raw.alias("raw"), dates.is_weekend("ts").alias("weekend"), dates.minutes_of(clock).alias("minutes"), dates.half_hour(clock).alias("rounded"))

@@ -18,9 +18,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def carrier(sql: str | None = None):
+def carrier(sql: str | None = None, longs: tuple[str, ...] = ()):
+    """Register a query under its function's name; columns in `longs` are counted in 64 bits, as SQL does."""
     def add(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            df = f(Tables(spark, folder))
+            return df.withColumns({c: df[f"`{c}`"].cast("long") for c in longs}) if longs else df
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f

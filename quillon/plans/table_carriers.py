@@ -35,7 +35,7 @@ def slots_normalised(t):
     return _flat(t)
 
 
-@carrier(f"WITH {_FLAT} SELECT l_orderkey, meal, list_sort(list_distinct(list(time)))[1:12] AS times, count(*) AS slot_count, max(seats) AS max_seats, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS n_dates, CASE meal WHEN 'lunch' THEN 0 WHEN 'dinner' THEN 1 ELSE 2 END AS meal_rank, CASE WHEN count(DISTINCT date) = 1 THEN min(date)::VARCHAR ELSE count(DISTINCT date) || ' dates, ' || min(date) || ' to ' || max(date) END AS span FROM f WHERE open GROUP BY ALL")
+@carrier(f"WITH {_FLAT} SELECT l_orderkey, meal, list_sort(list_distinct(list(time)))[1:12] AS times, count(*) AS slot_count, max(seats) AS max_seats, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS n_dates, CASE meal WHEN 'lunch' THEN 0 WHEN 'dinner' THEN 1 ELSE 2 END AS meal_rank, CASE WHEN count(DISTINCT date) = 1 THEN min(date)::VARCHAR ELSE count(DISTINCT date) || ' dates, ' || min(date) || ' to ' || max(date) END AS span FROM f WHERE open GROUP BY ALL", longs=("n_dates",))
 def slots_by_meal(t):
     g = slots.group_meals(_flat(t), "l_orderkey", "meal")
     n = F.size("dates")
@@ -53,14 +53,14 @@ def events_near_noon(t):
     return rows.filter(slots.slot_predicate(2, None, None, "12:00", "weekend")).select("event_id")
 
 
-@carrier("SELECT user_id, s.date AS date, s.time AS time, s.event_id AS event_id, d AS minutes_away FROM (SELECT user_id, arg_min({date: ts::DATE, time: strftime(ts, '%H:%M'), event_id: event_id}, {d: abs(hour(ts) * 60 + minute(ts) - 720), t: strftime(ts, '%Y-%m-%d %H:%M'), e: event_id}) AS s, min(abs(hour(ts) * 60 + minute(ts) - 720)) AS d FROM events GROUP BY 1)")
+@carrier("SELECT user_id, s.date AS date, s.time AS time, s.event_id AS event_id, d AS minutes_away FROM (SELECT user_id, arg_min({date: ts::DATE, time: strftime(ts, '%H:%M'), event_id: event_id}, {d: abs(hour(ts) * 60 + minute(ts) - 720), t: strftime(ts, '%Y-%m-%d %H:%M'), e: event_id}) AS s, min(abs(hour(ts) * 60 + minute(ts) - 720)) AS d FROM events GROUP BY 1)", longs=("minutes_away",))
 def closest_event(t):
     rows = t.events.select("user_id", F.to_date("ts").alias("date"), F.concat(F.date_format("ts", "HH:mm")).alias("time"), "event_id")
     unique = dedupe.first_wins(rows, ["user_id", "date", "time"], "event_id")
     return slots.closest_slot(unique, "12:00", "user_id", keep=("date", "time", "event_id"))
 
 
-@carrier("SELECT d::DATE AS day, dayofweek(d) AS \"column\", coalesce(n, 0) AS n_slots FROM generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) s(d) LEFT JOIN (SELECT ts::DATE AS k, count(*) AS n FROM events GROUP BY 1) ON k = d")
+@carrier("SELECT d::DATE AS day, dayofweek(d) AS \"column\", coalesce(n, 0) AS n_slots FROM generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) s(d) LEFT JOIN (SELECT ts::DATE AS k, count(*) AS n FROM events GROUP BY 1) ON k = d", longs=("column",))
 def month_calendar(t):
     return slots.month_calendar(t.events, "2024-01", "ts")
 
@@ -163,7 +163,7 @@ def best_wins(t):
     return dedupe.best_wins(rows, [F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))], [F.col("l").isNotNull().cast("int"), F.col("n_chars")], "doc_id").select("doc_id", "position", "n_merged")
 
 
-@carrier("SELECT lang, list_distinct(list(source)) IS NOT NULL AS merged, count(DISTINCT source) AS n_sources, min(doc_id) AS doc_id FROM documents GROUP BY lang")
+@carrier("SELECT lang, list_distinct(list(source)) IS NOT NULL AS merged, count(DISTINCT source) AS n_sources, min(doc_id) AS doc_id FROM documents GROUP BY lang", longs=("n_sources",))
 def merged_arrays(t):
     rows = t.documents.select("lang", "doc_id", F.array("source").alias("sources"))
     return dedupe.merge_arrays(rows, "lang", "doc_id", ["sources"]).select("lang", F.col("sources").isNotNull().alias("merged"), F.size("sources").alias("n_sources"), "doc_id")
