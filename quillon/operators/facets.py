@@ -112,9 +112,13 @@ def repeated_values(df: DataFrame, column: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class ExplorerQuery:
-    """A page of records: scope and facets, lookup of ratings only when a facet or the order needs them, ranking."""
+    """A page of records: scope and facets, lookup of ratings only when a facet or the order needs them, ranking.
+
+    id_col is unique and breaks ties; lookup_col (else id_col) is the key of the ratings.
+    """
 
     id_col: str
+    lookup_col: str = ""
     scope: Column | None = None
     facets: Sequence[Column | None] = ()
     search: str = ""
@@ -133,7 +137,7 @@ class ExplorerQuery:
     def build(self, records: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
         rows = facet_filter(records, self.scope, *self.facets)
         if ratings is not None and self.needs_ratings():
-            rows = with_rating(rows, ratings, self.id_col, self.alias_col)
+            rows = with_rating(rows, ratings, self.lookup_col or self.id_col, self.alias_col)
             rows = facet_filter(rows, at_least(self.min_rating, "rating"), F.col("has_rating") if self.has_rating else None)
         if self.search and self.search_col:
             rows = rows.filter(fuzzy_match(self.search_col, self.search))

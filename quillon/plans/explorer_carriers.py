@@ -20,9 +20,7 @@ _RATINGS = "r AS (SELECT c_custkey AS id, c_acctbal AS rating, CASE WHEN c_mktse
 
 @carrier("SELECT o_orderkey, o_custkey, o_totalprice, c_acctbal AS rating FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey WHERE o_orderstatus = 'F' ORDER BY coalesce(c_acctbal, -1) DESC, o_orderkey LIMIT 50")
 def explorer_page(t):
-    q = facets.ExplorerQuery("o_custkey", scope=facets.equals("o_orderstatus", "F"), sort=[("rating", -1.0)], columns=["o_orderkey", "o_custkey", "o_totalprice", "rating"])
-    rows = lookup.with_rating(facets.facet_filter(t.orders, q.scope), _ratings(t), "o_custkey")
-    return facets.page(facets.ranked(rows, ("rating", -1.0), ties=["o_orderkey"])).select(*q.columns)
+    return facets.ExplorerQuery("o_orderkey", "o_custkey", facets.equals("o_orderstatus", "F"), sort=[("rating", -1.0)], columns=["o_orderkey", "o_custkey", "o_totalprice", "rating"]).build(t.orders, _ratings(t))
 
 
 @carrier(f"WITH {_RATINGS} SELECT o_orderkey, coalesce(a.rating, CASE WHEN a.id IS NULL THEN b.rating END) AS rating, coalesce(CASE WHEN a.id IS NULL THEN b.review_count ELSE a.review_count END, b.review_count) AS review_count, a.id IS NOT NULL OR b.id IS NOT NULL AS has_rating FROM orders LEFT JOIN r a ON a.id = o_custkey LEFT JOIN r b ON b.id = o_custkey % 100", longs=("review_count",))
@@ -33,8 +31,8 @@ def rating_alias_lookup(t):
 @carrier(f"WITH {_RATINGS} SELECT o_orderkey, rating FROM orders JOIN r ON id = o_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' AND rating >= 4000")
 def facet_conjunction(t):
     urgent = facets.one_of("o_orderpriority", "soon", {"soon": ["1-URGENT", "2-HIGH"]})
-    q = facets.ExplorerQuery("o_custkey", facets=[urgent, facets.equals("o_orderstatus", "O"), facets.equals("o_orderkey", None)], min_rating=4000.0)
-    rows = lookup.with_rating(facets.facet_filter(t.orders, *q.facets), _ratings(t), "o_custkey")
+    q = facets.ExplorerQuery("o_orderkey", "o_custkey", facets=[urgent, facets.equals("o_orderstatus", "O"), facets.equals("o_orderkey", None)], min_rating=4000.0)
+    rows = lookup.with_rating(facets.facet_filter(t.orders, q.scope, *q.facets), _ratings(t), q.lookup_col)
     return facets.facet_filter(rows, facets.at_least(q.min_rating, "rating")).select("o_orderkey", "rating")
 
 

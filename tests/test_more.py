@@ -144,3 +144,17 @@ def test_catalog_and_assets(spark, tmp_path):
         (tmp_path / f"page{i}.json").write_text(f'{{"page": {i}, "items": [{{"id": {i}}}]}}')
     assert sorted(r.id for r in readers.read_pages(spark, f"{tmp_path}/page*.json", "page int, items array<struct<id:int>>", "items").collect()) == [1, 2]
     assert lookup.selection(spark.range(9), "id", ids=spark.createDataFrame([(3,), (5,)], "id long")).count() == 2
+
+
+def test_explorer_query(spark):
+    from quillon.operators import facets
+
+    rows = spark.createDataFrame([(1, "a", "Blue Door"), (2, "b", "Red Gate"), (3, "x", "Blue Gate"), (4, "c", "Blue Bar")], "id int, r string, name string")
+    ratings = spark.createDataFrame([("a", 4.0, 10), ("b", 4.5, None), ("c", None, 5)], "id string, rating double, review_count int")
+    ids = lambda q: [r.id for r in q.build(rows, ratings).collect()]
+    q = facets.ExplorerQuery
+    assert ids(q("id", "r", sort=[("rating", -1.0), ("review_count", 0)])) == [2, 1, 4, 3]
+    assert ids(q("id", "r", min_rating=4.2)) == [2] and ids(q("id", "r", has_rating=True)) == [1, 2, 4]
+    assert ids(q("id", "r", search="blu gate", search_col="name")) == [3] and ids(q("id", "r", pages=1, size=2)) == [1, 2]
+    assert not q("id", "r").needs_ratings() and "rating" not in q("id", "r").build(rows, ratings).columns
+    assert ids(q("id", "r", alias_col=F.lit("b"), sort=[("rating", -1.0)])) == [2, 3, 1, 4] and facets.active_count("", None, "x", []) == 1
