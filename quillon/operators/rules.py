@@ -19,18 +19,28 @@ BOOKING_RULES = (("48h", r"48\s*hours?|48h"), ("24h", r"24\s*hours?|24h"), ("pho
 STATUS_RULES = (("closed", "permanently closed"), ("closing_soon", "effective from|not be eligible"), ("temporarily_closed", "temporarily closed"))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once a row: branches of a condition don't share their inputs otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_rule(text, rules: Sequence[tuple[str, str]], otherwise: str | None = None) -> Column:
     """Key of the first rule whose pattern occurs in the lower-cased text."""
-    t, out = F.lower(compact_space(text)), None
-    for key, pattern in rules:
-        out = F.when(t.rlike(pattern), key) if out is None else out.when(t.rlike(pattern), key)
-    return out.otherwise(F.lit(otherwise).cast("string"))
+    def pick(t):
+        out = None
+        for key, pattern in rules:
+            out = F.when(t.rlike(pattern), key) if out is None else out.when(t.rlike(pattern), key)
+        return out.otherwise(F.lit(otherwise).cast("string"))
+
+    return once(F.lower(compact_space(text)), pick)
 
 
 def all_rules(text, rules: Sequence[tuple[str, str]], none: str | None = None, limit: int | None = None) -> Column:
     """Distinct keys of all rules that hold, in rule order; [none] if there is none."""
-    t = F.lower(compact_space(text))
-    found = F.array_distinct(F.filter(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in rules]), lambda x: x.isNotNull()))
+    def pick(t):
+        return F.array_distinct(F.filter(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in rules]), lambda x: x.isNotNull()))
+
+    found = once(F.lower(compact_space(text)), pick)
     if limit:
         found = F.slice(found, 1, limit)
     return F.when(F.size(found) == 0, F.array(F.lit(none))).otherwise(found) if none else found
@@ -61,8 +71,8 @@ def is_english(text, stop: Sequence[str] = ENGLISH) -> Column:
     t = F.coalesce(_c(text), F.lit(""))
     foreign = F.length(F.regexp_replace(t, r"[\x00-\x7F]", ""))
     words = F.regexp_extract_all(F.lower(t), F.lit(r"\b([a-z]+)\b"), 1)
-    hits = F.size(F.filter(words, lambda w: w.isin(list(stop))))
-    return (t != "") & (foreign < 0.2 * F.length(t)) & ((F.size(words) < 8) | (hits >= F.size(words) / 8))
+    dense = once(words, lambda ws: (F.size(ws) < 8) | (F.size(F.filter(ws, lambda w: w.isin(list(stop)))) >= F.size(ws) / 8))
+    return (t != "") & (foreign < 0.2 * F.length(t)) & dense
 
 
 def sentences(text) -> Column:
