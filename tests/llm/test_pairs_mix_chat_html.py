@@ -240,6 +240,23 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+def test_short_articles_under_a_long_menu(spark):
+    menu = "".join(f"<li>Menu entry {w}</li>" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split())
+    own = ["Rain fell.<div>Streets flooded", "Cats sleep.<div>Dogs run", "Bread rose.<div>Ovens glowed"]
+    text = "A long story that is told in a paragraph of its own, about hills, boats, lamps and one old bridge."
+    rows = [(i, f"http://menu.example/{i}", f"<ul>{menu}</ul><div>{x}</div>") for i, x in enumerate(own)]
+    rows += [(9, "http://two.example/1", "<div>a1<div>b1<div>c1<div>own p<div>own q"), (10, "http://two.example/2", "<div>a1<div>b1<div>c1<div>other r<div>other s")]
+    # copies, one with another counter, one with an edited line: what they share is the text, what the last page has too is not
+    rows += [(20 + i, f"http://copies.example/a/{i}", f"<div>Site name<p>{text}<p>{text} Twice.<div>Views: {n}<div>Imprint") for i, n in enumerate((1, 22, 22, 303))]
+    rows += [(24, "http://copies.example/a/4", f"<div>Site name<p>{text}<p>{text} Twice.<div>Views of this: 5<div>Imprint"), (25, "http://copies.example/b", "<div>Site name<p>Something else.<div>Imprint")]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [x.replace("<div>", "\n") for x in own]
+    assert got[9] == "own p\nown q" and got[10] == "other r\nother s"
+    for i, n in enumerate((1, 22, 22, 303)):
+        assert got[20 + i] == f"{text}\n{text} Twice.\nViews: {n}"
+    assert got[24] == f"{text}\n{text} Twice.\nViews of this: 5" and got[25] == "Something else."
+
+
 def test_extraction_of_the_table(spark):
     """The tables' pages: exactly the article's blocks."""
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
