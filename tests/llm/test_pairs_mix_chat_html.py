@@ -257,6 +257,17 @@ def test_short_articles_under_a_long_menu(spark):
     assert got[24] == f"{text}\n{text} Twice.\nViews of this: 5" and got[25] == "Something else."
 
 
+def test_repeated_notices_inside_articles_go(spark):
+    quote = "A passage that two neighbours quote."
+    body = [f"<p>First of {w}.<p>{quote}<p>Second of {w}." if i < 2 else f"<p>First of {w}.<p>Second of {w}.<p>Third of {w}." for i, w in enumerate(("hills", "boats", "lamps"))]
+    rows = [(i, f"http://art.example/{i}", f"<article><h1>Title {w}</h1><p>Share this story{b}<p>More from our desk</article>") for i, (b, w) in enumerate(zip(body, ("one", "two", "three")))]
+    rows += [(9, "http://pair.example/1", "<main><p>Same line<p>own one</main>"), (10, "http://pair.example/2", "<main><p>Same line<p>own two</main>")]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == f"Title one\nFirst of hills.\n{quote}\nSecond of hills." and got[1] == f"Title two\nFirst of boats.\n{quote}\nSecond of boats."
+    assert got[2] == "Title three\nFirst of lamps.\nSecond of lamps.\nThird of lamps."
+    assert got[9] == "Same line\nown one" and got[10] == "Same line\nown two"  # one page is no evidence
+
+
 def test_extraction_of_the_table(spark):
     """The tables' pages: exactly the article's blocks."""
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
