@@ -29,8 +29,8 @@ TEMPLATES = {
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
-#: Words in a k-gram; how far apart diagonals may lie to be merged (inserted or left-out words); the share of a
-#: template's words that a verified span covers, or so many words at least; and the share of the span they make up.
+#: Words in a k-gram; how far apart the diagonals of one chain of hits may lie (inserted or left-out words); the share
+#: of a template's words that a verified span has, or so many words at least; and the share of the span they make up.
 K, GAP, COVERAGE, ENOUGH, DENSITY = 4, 8, 0.6, 24, 0.5
 
 #: Bytes that belong to words stay (A-Z as a-z); the others are blanks. UTF-8 keeps non-ASCII characters whole.
@@ -54,14 +54,82 @@ def phrase_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list
     return sorted(out)
 
 
-def template_grams(spark, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
-    """(h, label, tpos, tlen): every k-gram hash of every template. Its size is that of the templates, a parameter."""
-    hashes = WordHashes()
-    rows = []
-    for label, text in templates.items():
-        words = license_words(text)
-        rows += [(int(h), label, i, len(words)) for i, h in enumerate(windows(hashes.of(words), k).view(np.int64))]
-    return spark.createDataFrame(rows, "h long, label string, tpos int, tlen int")
+class Templates:
+    """Words of templates and all their k-gram hashes in order. Their size is that of a parameter, not of the data."""
+
+    def __init__(self, templates: dict[str, str], k: int):
+        self.words = {label: license_words(text) for label, text in templates.items()}
+        self.labels, self.k, self.hashes = list(templates), k, WordHashes()
+        found = [(h, n, i) for n, label in enumerate(self.labels) for i, h in enumerate(windows(self.hashes.of(self.words[label]), k))]
+        found.sort()
+        self.h = np.array([h for h, _, _ in found], np.uint64)
+        self.at = [(n, i) for _, n, i in found]
+
+    def hits(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+        """(position in the text, position in the template) of all equal k-grams, by template, in order."""
+        grams = windows(self.hashes.of(words), self.k)
+        lo, hi = np.searchsorted(self.h, grams, "left"), np.searchsorted(self.h, grams, "right")
+        out: dict[int, list] = {}
+        for p in np.flatnonzero(hi > lo):
+            for n, t in self.at[lo[p] : hi[p]]:
+                out.setdefault(n, []).append((int(p), t))
+        return {n: sorted(v) for n, v in out.items()}
+
+
+def chains(hits: list[tuple[int, int]], size: int, gap: int = GAP) -> list[tuple[int, int, int, int]]:
+    """(first text and template position, last ones) of chains of hits that go up in both, on diagonals at most gap
+    apart. Where the template starts again, so does a chain: copies one after the other are spans of their own."""
+    open_: list[list[int]] = []
+    out = []
+    for p, t in hits:
+        out += [c for c in open_ if p - c[2] > size + gap]
+        open_ = [c for c in open_ if p - c[2] <= size + gap]
+        fits = [c for c in open_ if c[2] < p and c[3] < t and abs((p - t) - (c[2] - c[3])) <= gap]
+        if fits:
+            c = min(fits, key=lambda c: (abs((p - t) - (c[2] - c[3])), p - c[2]))
+            c[2:] = p, t
+        else:
+            open_.append([p, t, p, t])
+    return [tuple(c) for c in out + open_]
+
+
+def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """(place in a, place in b) of a longest common subsequence."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
+    n = [[0] * (len(b) + 1)]
+    for x in a:
+        row, above = [0], n[-1]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        n.append(row)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif n[i - 1][j] >= n[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def verified_spans(words: list[bytes], templates: Templates, gap: int, coverage: float, enough: int, density: float) -> list[tuple[str, int, int, int, float]]:
+    """(label, start, end, covered, cover) of spans whose words were aligned with a template's."""
+    found = set()
+    for n, hits in templates.hits(words).items():
+        label = templates.labels[n]
+        want = templates.words[label]
+        for p0, t0, p1, t1 in chains(hits, len(want), gap):
+            after = len(want) - t1 - templates.k
+            lo, hi = max(0, p0 - t0 - min(gap, t0)), p1 + templates.k + after + min(gap, after)
+            pairs = aligned(words[lo:hi], want)
+            start, end, covered = lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs)
+            if not (covered >= coverage * len(want) or covered >= enough) or covered < density * (end - start):
+                continue
+            found.add((label, start, end, covered, covered / len(want)))
+    return sorted(found)
 
 
 def _text_key():
@@ -71,33 +139,21 @@ def _text_key():
 def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, gap: int = GAP, coverage: float = COVERAGE, enough: int = ENOUGH, density: float = DENSITY, text_col: str = "text") -> DataFrame:
     """(key, label, start, end, covered, cover): verified spans of templates in texts; key is the text's MD5.
 
-    The rolling k-gram hashes of all words are joined with the templates' (broadcast: the templates are a
-    parameter, not data); hits are counted by (text, template, offset diagonal); diagonals at most `gap` apart are
-    merged, and a merged span is kept if the template words that its hits cover are >= coverage of the template
-    or >= enough words, and >= density of the span. Equal texts give equal spans once; nulls and texts of fewer
-    than k words give none.
+    Hits of the rolling k-gram hashes of all words are chained along the diagonals of each template, and the words
+    from a chain's template start to its end are aligned with the template's; see verified_spans. Equal texts give
+    equal spans once; nulls and texts of fewer than k words give none.
     """
-    def grams(batches):
-        hashes = WordHashes()
+    schema = pa.schema([("key", pa.binary()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("covered", pa.int32()), ("cover", pa.float64())])
+
+    def spans(batches):
+        known = Templates(templates, k)
         for b in pieces(batches):
-            found = [windows(hashes.of(license_words(t)), k).view(np.int64) for t in b.column(1).to_pylist()]
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["key", "grams"])
+            rows = [(key, *x) for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in verified_spans(license_words(t), known, gap, coverage, enough, density)]
+            yield batch(schema, [list(c) for c in zip(*rows)] if rows else [[]] * len(schema))
 
     bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).cast("string").alias("text")).select(_text_key().alias("key"), "text")
-    rolled = slim.mapInArrow(tidy(grams), "key binary, grams array<long>").select("key", F.posexplode("grams").alias("pos", "h"))
-    hits = rolled.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "h").select("key", "label", "tlen", "tpos", "pos").distinct()
-    diagonals = hits.groupBy("key", "label", "tlen", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_list(F.struct("tpos", "pos")).alias("votes"))
-    step = F.expr("case when diagonal - lag(diagonal) over (partition by key, label order by diagonal) <= {0} then 0 else 1 end".format(int(gap)))
-    merged = diagonals.withColumn("new", step).withColumn("span", F.expr("sum(new) over (partition by key, label order by diagonal rows unbounded preceding)"))
-    spans = merged.groupBy("key", "label", "tlen", "span").agg(F.flatten(F.collect_list("votes")).alias("v"))
-    spans = spans.withColumn("t", F.array_sort(F.array_distinct(F.transform("v", lambda x: x["tpos"])))).withColumn("start", F.array_min(F.transform("v", lambda x: x["pos"]))).withColumn("end", F.array_max(F.transform("v", lambda x: x["pos"])) + k)
-    # words of the template that lie in a hit: k for the first, and each next hit adds at most k
-    covered = F.lit(k) + F.aggregate(F.sequence(F.lit(1), F.size("t")), F.lit(0), lambda s, i: s + F.when(i < F.size("t"), F.least(F.lit(k), F.element_at("t", (i + 1).cast("int")) - F.element_at("t", i.cast("int")))).otherwise(0))
-    spans = spans.withColumn("covered", covered).withColumn("cover", F.least(F.lit(1.0), F.col("covered") / F.col("tlen")))
-    return spans.filter(((F.col("cover") >= coverage) | (F.col("covered") >= enough)) & (F.col("covered") >= density * (F.col("end") - F.col("start")))).select("key", "label", "start", "end", "covered", "cover")
+    return slim.mapInArrow(tidy(spans), "key binary, label string, start int, end int, covered int, cover double").distinct()
 
 
 def family(label: str) -> str:

@@ -121,3 +121,12 @@ def test_license_spans(spark):
     assert got[1].labels == "bsd" and got[1].n_spans == 1 and 0.8 < got[1].score < 1
     assert got[2].labels == got[3].labels == "" and got[2].score == got[3].score == 0
     assert set(got[4].labels.split(",")) >= {"mit", "isc"} and got[4].score == 1
+
+
+def test_license_lines_one_after_the_other(spark):
+    lines = {"cc-by-nc-4.0": licenses.TEMPLATES["cc-by-nc-4.0-line"], "apache-2.0": licenses.TEMPLATES["apache-2.0-line"]}
+    rows = [(10 * i + n, " ".join([line] * n)) for i, line in enumerate(lines.values()) for n in (1, 2, 3, 9)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in enumerate(lines):
+        for n in (1, 2, 3, 9):
+            assert label in got[10 * i + n].labels.split(",") and got[10 * i + n].n_spans == n and got[10 * i + n].score == 1
