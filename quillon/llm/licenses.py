@@ -32,6 +32,8 @@ TEMPLATES = {
 #: Words in a k-gram; how far apart the diagonals of one chain of hits may lie (inserted or left-out words); the share
 #: of a template's words that a verified span has, or so many words at least; and the share of the span they make up.
 K, GAP, COVERAGE, ENOUGH, DENSITY = 4, 8, 0.6, 24, 0.5
+#: Words that make another license of one, besides numbers (versions).
+QUALIFIERS = {b"sharealike", b"noncommercial", b"noderivatives", b"noderivs", b"sa", b"nc", b"nd", b"lesser", b"affero", b"alike", b"commercial", b"derivatives"}
 
 #: Bytes that belong to words stay (A-Z as a-z); the others are blanks. UTF-8 keeps non-ASCII characters whole.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -116,7 +118,12 @@ def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
 
 
 def verified_spans(words: list[bytes], templates: Templates, gap: int, coverage: float, enough: int, density: float) -> list[tuple[str, int, int, int, float]]:
-    """(label, start, end, covered, cover) of spans whose words were aligned with a template's."""
+    """(label, start, end, covered, cover) of spans whose words were aligned with a template's.
+
+    Numbers and QUALIFIERS of the template have to be among the aligned words (of a part of a long template, those
+    within the part), and the span has no further qualifier. Of overlapping spans of several licenses the one with
+    the most words stays.
+    """
     found = set()
     for n, hits in templates.hits(words).items():
         label = templates.labels[n]
@@ -128,8 +135,16 @@ def verified_spans(words: list[bytes], templates: Templates, gap: int, coverage:
             start, end, covered = lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs)
             if not (covered >= coverage * len(want) or covered >= enough) or covered < density * (end - start):
                 continue
+            kept = {want[t] for _, t in pairs}
+            part = want[pairs[0][1] : pairs[-1][1] + 1] if covered >= enough else want
+            if any(w not in kept for w in part if w in QUALIFIERS or w.isdigit()) or QUALIFIERS & set(words[start:end]) - set(want):
+                continue
             found.add((label, start, end, covered, covered / len(want)))
-    return sorted(found)
+    best: list[tuple[str, int, int, int, float]] = []
+    for x in sorted(found, key=lambda x: (-x[3], -x[4], x[0], x[1])):
+        if not any(2 * (min(x[2], y[2]) - max(x[1], y[1])) >= x[2] - x[1] and (x[0] == y[0] or family(x[0]) != family(y[0])) for y in best):
+            best.append(x)
+    return best
 
 
 def _text_key():

@@ -130,3 +130,12 @@ def test_license_lines_one_after_the_other(spark):
     for i, label in enumerate(lines):
         for n in (1, 2, 3, 9):
             assert label in got[10 * i + n].labels.split(",") and got[10 * i + n].n_spans == n and got[10 * i + n].score == 1
+
+
+def test_license_labels_tell_licenses_and_versions_apart(spark):
+    notice = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    gpl = "This work is licensed under the GNU {}General Public License, version {}."
+    longer = licenses.TEMPLATES["apache-2.0"]
+    cases = [(notice.format(""), "cc-by-4.0"), (notice.format("-ShareAlike"), "cc-by-sa-4.0"), (notice.format("-NonCommercial"), ""), (notice.format("").replace("4.0", "3.0"), ""), (gpl.format("", 3), "gpl,gpl-3.0"), (gpl.format("", 2), "gpl"), (gpl.format("Lesser ", 3), ""), ("Licensed under the Apache License, Version 1.1.", "apache"), ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"), (longer, "apache,apache-2.0"), (longer.replace("2.0", "1.1"), "apache")]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
