@@ -158,3 +158,31 @@ def test_explorer_query(spark):
     assert ids(q("id", "r", search="blu gate", search_col="name")) == [3] and ids(q("id", "r", pages=1, size=2)) == [1, 2]
     assert not q("id", "r").needs_ratings() and "rating" not in q("id", "r").build(rows, ratings).columns
     assert ids(q("id", "r", alias_col=F.lit("b"), sort=[("rating", -1.0)])) == [2, 3, 1, 4] and facets.active_count("", None, "x", []) == 1
+
+
+def test_whole_table_ranges_against_brute_force(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    from quillon.plans import carriers
+
+    rng = random.Random(4)
+    at = lambda n: dt.datetime(1997, 1, 1) + dt.timedelta(days=n)
+    orders = [(i, at(rng.randint(0, 80))) for i in range(60)]
+    lines = [(o, n, rng.randint(1, 5), rng.randint(1, 50), at(rng.randint(0, 80))) for o, _ in orders for n in range(1, rng.randint(2, 5))]
+    subs = [(i, i % 3) for i in range(1, 60)]
+    suppliers = [(i, i % 3) for i in range(1, 7)]
+    for name, rows, ddl in (("orders", orders, "o_orderkey long, o_orderdate timestamp"), ("lineitem", [(*x, "A") for x in lines], "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity int, l_shipdate timestamp, l_returnflag string"), ("customer", subs, "c_custkey long, c_nationkey int"), ("supplier", suppliers, "s_suppkey long, s_nationkey int")):
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: sorted(map(tuple, carriers.queries()[name](spark, str(tmp_path)).collect()))
+    day = dt.timedelta(days=1)
+    windows = {(o, d, x[2]) for o, d in orders for x in lines if x[0] == o}
+    pairs = sorted((o, s, x[0], x[1]) for o, d, s in windows for x in lines if x[2] == s and d < x[4] + 4 * day and x[4] < d + 2 * day)
+    assert pairs and run("range_join_pairs_whole") == pairs
+    assert run("range_join_semi_whole") == sorted({(p[0],) for p in pairs})
+    nation = dict(suppliers)
+    want = sorted((c, x[2], x[0], x[1]) for c, k in subs for x in lines if nation[x[2]] == k and x[3] >= c % 40 + 10 and at(c % 30) <= x[4] <= dt.datetime(1997, 2, 1))
+    assert want and run("subscription_slots_whole") == want
+    stays = {s: [x for x in lines if x[2] == s] for s in nation}
+    hit = lambda x: x[4] < dt.datetime(1997, 3, 10) and dt.datetime(1997, 3, 1) < x[4] + 4 * day
+    assert run("stay_window_whole") == sorted((s, "blocked" if any(map(hit, v)) else "not_blocked" if v else "subject_to_availability") for s, v in stays.items())
