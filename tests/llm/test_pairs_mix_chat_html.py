@@ -268,6 +268,14 @@ def test_repeated_notices_inside_articles_go(spark):
     assert got[9] == "Same line\nown one" and got[10] == "Same line\nown two"  # one page is no evidence
 
 
+def test_nearest_page_of_a_deep_path(spark):
+    deep = "/" + "folder/" * 12
+    # of the page in the middle, 64 characters are shared with both, and more with the page after it
+    rows = [(b"a", "h", deep + "a/1", 1), (b"b", "h", deep + "b/1", 2), (b"c", "h", deep + "b/2", 3)]
+    got = {bytes(r.key): (bytes(r.other), bytes(r.further)) for r in html_text.nearest_pages(spark.createDataFrame(rows, "key binary, host string, path string, digest long")).collect()}
+    assert got[b"b"] == (b"c", b"a")
+
+
 def test_extraction_of_the_table(spark):
     """The tables' pages: exactly the article's blocks."""
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
