@@ -67,14 +67,17 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     """max(least, int(n * share)) rows of every stratum in the order of md5(seed:key), then the first n overall.
 
     Per-stratum counts come from an aggregate; the rank window runs over the rows below a hash threshold that is
-    generous for the wanted number, so a large stratum isn't sorted whole.
+    generous for the wanted number, so a large stratum isn't sorted whole. What passes is counted: a stratum of which
+    too few pass (one key on most rows, null keys, which come last) is ranked whole.
     """
     total = df.groupBy(stratum).agg(F.count("*").alias("c_"))
     share = total.crossJoin(F.broadcast(total.agg(F.sum("c_").alias("t_")))).withColumn("take_", F.greatest(F.lit(least), F.floor(F.lit(n) * F.col("c_") / F.col("t_")))).select(F.col(stratum).alias("s_"), "take_", "c_")
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     cut = F.least(F.lit(1.0), (F.col("take_") * 4 + 64) / F.col("c_"))
     rows = df.withColumn("h_", h).join(share, F.col(stratum).eqNullSafe(F.col("s_")))
-    rows = rows.filter(F.conv(F.substring("h_", 1, 8), 16, 10).cast("double") / 4294967296.0 <= cut)
-    w = W.partitionBy(stratum).orderBy("h_", key)
+    rows = rows.withColumn("in_", F.coalesce(F.conv(F.substring("h_", 1, 8), 16, 10).cast("double") / 4294967296.0 <= cut, F.lit(False)))
+    short = rows.groupBy(stratum).agg((F.count_if("in_") < F.max("take_")).alias("all_")).select(F.col(stratum).alias("z_"), "all_")
+    rows = rows.join(short, F.col(stratum).eqNullSafe(F.col("z_"))).filter(F.col("in_") | F.col("all_"))
+    w = W.partitionBy(stratum).orderBy(F.col("h_").asc_nulls_last(), key)
     picked = rows.withColumn("r_", F.row_number().over(w)).filter("r_ <= take_")
-    return picked.orderBy(F.col(stratum).asc_nulls_first(), "r_").limit(n).drop("s_", "take_", "c_", "h_", "r_")
+    return picked.orderBy(F.col(stratum).asc_nulls_first(), "r_").limit(n).drop("s_", "take_", "c_", "h_", "in_", "z_", "all_", "r_")

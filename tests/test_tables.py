@@ -102,6 +102,18 @@ def test_margin_policy_and_trace(spark):
     assert trace[1].gap_12 == 20 and not trace[1].accept and trace[2].accept
 
 
+def test_stratified_sample_takes_its_rows_whatever_the_keys(spark):
+    rows = [("nulls", None)] * 3000 + [("ok", i) for i in range(3000)]
+    import hashlib
+
+    late = max(range(500), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+    rows += [("one", late)] * 3000
+    got = dedupe.stratified_sample(spark.createDataFrame(rows, "s string, k long"), "s", "k", 30).groupBy("s").count().collect()
+    assert {r.s: r["count"] for r in got} == {"nulls": 10, "ok": 10, "one": 10}
+    few = spark.createDataFrame([("a", None)] * 5 + [("a", 7)], "s string, k long")
+    assert [r.k for r in dedupe.stratified_sample(few, "s", "k", 1, least=1).collect()] == [7]
+
+
 def test_follow_moves(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x")], "s string, t string")
     out = {r.s: r.t for r in parse.follow_moves(df, "s", "t").collect()}
