@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 250_000
+#: Words a worker remembers before it starts afresh, and bytes of those it remembers; bounds memory, not results.
+REMEMBERED, LONGEST = 250_000, 100
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -17,9 +17,11 @@ class WordHashes(dict):
     """word (bytes) -> 64-bit hash, computed once per remembered word."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -9,14 +9,17 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 
 from quillon.llm.textwork import utf8
 
-#: Chunks a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 600_000
+#: Bytes that a worker's memory of chunks may take before it starts afresh, and what an entry costs beside its own
+#: bytes; longer chunks are not remembered. Bounds memory, not results.
+REMEMBERED, ENTRY, LONGEST = 96 << 20, 200, 100
 
 
 @lru_cache(maxsize=2)
@@ -32,97 +35,70 @@ def specification(path: str) -> dict:
         return json.load(f)
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Character -> byte of byte-level vocabularies: printable bytes stand for themselves, the others from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-#: Stands for the word end in the merge engine's bytes; chunks that hold it go to the library.
-END = b"\x01"
-
-
 @lru_cache(maxsize=2)
-def merge_engine(path: str):
-    """(engine, whether an id closes a word): the vocabulary for a compiled merge loop, ids as ranks.
-
-    The engine merges the adjacent pair whose joint bytes have the lowest rank. That is the same as merging by the
-    rules' order if every token's own bytes merge to that token, which the tests check for the whole vocabulary. The
-    word end is a byte that joins the last character first, as those tokens have the lowest ranks of all pairs.
-    """
-    import tiktoken
-
-    model, of = specification(path)["model"], byte_alphabet()
-    suffix = model["end_of_word_suffix"]
-    ranks, ends = {}, np.zeros(max(model["vocab"].values()) + 1, bool)
-    special = {t["content"] for t in specification(path)["added_tokens"]}
-    for token, i in model["vocab"].items():
-        if token in special:
-            continue
-        closed = token.endswith(suffix)
-        raw = bytes(of[c] for c in (token[: -len(suffix)] if closed else token))
-        ranks[raw + END if closed else raw] = i
-        ends[i] = closed
-    return tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={}), ends
+def word_ends(path: str) -> np.ndarray:
+    """Whether an id closes a word, by id."""
+    model = specification(path)["model"]
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
+    return ends
 
 
 class ChunkIds:
-    """Ids of texts as little-endian unsigned integers of `width` bytes.
+    """Ids of texts as little-endian unsigned integers of `width` bytes, by the tokenizers library.
 
-    Words of letters and simple punctuation of Latin scripts (below U+0250) are lower-cased and cut here and merged
-    by the engine, all new ones of a batch at once; every other chunk (special strings, other scripts, capital
-    dotted I, decomposed characters, the end byte, over 200 bytes) goes through the library as it is.
+    The library gets the new chunks of a batch of texts. Plain words (letters of Latin scripts, below U+0250) go
+    joined with blanks, JOINED at a time, and are cut apart at the ids that close a word, of which there must be one
+    a word; all other chunks go as single texts.
     """
 
-    def __init__(self, path: str, width: int = 4):
-        import regex
+    JOINED = 2000
 
-        self.tok, self.width, self.dtype = library(path), width, np.dtype(f"<u{width}")
-        self.engine, self.ends = merge_engine(path)
+    def __init__(self, path: str, width: int = 4):
+        self.tok, self.ends, self.width, self.dtype = library(path), word_ends(path), width, np.dtype(f"<u{width}")
         self.known: dict[bytes, bytes] = {}
-        self.letters = re.compile(rb"[A-Za-z]{1,200}\Z").match
-        self.simple = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]{1,100}\\Z").match
-        pattern = specification(path)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern).findall
+        self.size = 0
+        self.plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,100}\\Z").match
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        words, counts, chunks = [], [], []
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        words, others, out = [], [], {}
         for chunk in new:
-            if self.letters(chunk):
-                words.append(chunk.lower().decode())
-                counts.append(1)
-                chunks.append(chunk)
-                continue
             text = chunk.decode("utf-8", "surrogatepass")
-            if b"<|" not in chunk and self.simple(text):
-                found = self.pieces(text.lower())
-                words += found
-                counts.append(len(found))
-                chunks.append(chunk)
-            else:
-                self.known[chunk] = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if not words:
-            self.known.update((c, b"") for c in chunks)
-            return
-        ids = np.array(self.engine.encode_ordinary("\x01".join(words) + "\x01"), np.int64)
-        after = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))  # where each word's ids begin
-        cuts = (after[np.concatenate(([0], np.cumsum(counts)))] * self.width).tolist()
-        raw = ids.astype(self.dtype).tobytes()
-        self.known.update(zip(chunks, (raw[a:z] for a, z in zip(cuts, cuts[1:]))))
+            (words if self.plain(text) else others).append((chunk, text))
+        for at in range(0, len(words), self.JOINED):
+            some = words[at : at + self.JOINED]
+            ids = np.array(self._encode([" ".join(t for _, t in some)])[0], self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                others += some
+                continue
+            raw, cuts = ids.tobytes(), [0, *(stops * self.width).tolist()]
+            out.update((chunk, raw[a:z]) for (chunk, _), a, z in zip(some, cuts, cuts[1:]))
+        for at in range(0, len(others), self.JOINED):
+            some = others[at : at + self.JOINED]
+            out.update((chunk, np.array(ids, self.dtype).tobytes()) for (chunk, _), ids in zip(some, self._encode([t for _, t in some])))
+        return out
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, in order; null is empty."""
         split = [utf8(t).split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
+        new = set().union(*split).difference(self.known)
         if new:
-            self._learn(list(new))
+            found = self._learn(list(new))
+            self.known.update(found)
+            self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
         get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, s)) for s in split]
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                self.size -= len(chunk) + len(self.known.pop(chunk)) + ENTRY
+        if self.size > REMEMBERED:
+            self.known.clear()
+            self.size = 0
+        return out
 
     def text(self, text: str | None) -> bytes:
         return self.texts([text])[0]
@@ -137,9 +113,9 @@ def chunk_ids(path: str, width: int = 4) -> ChunkIds:
 class MergeCounter(dict):
     """chunk (bytes) -> number of tokens, by heap-and-linked-list byte-pair merging; makes no ids.
 
-    A piece starts as one symbol a character (the last one carries the word end). The heap holds adjacent
-    pairs by (rank, place); the lowest is popped, merged into its left symbol, and its two new neighbour
-    pairs are pushed. Entries whose symbols have changed since are skipped. Tokens = symbols - merges.
+    A piece starts as one symbol a character (the last one carries the word end). The heap holds the ranks and
+    places of adjacent pairs, one integer each; the lowest is popped, merged into its left symbol, and its two new
+    neighbour pairs are pushed. Entries whose place holds another pair by now are skipped. Tokens = symbols - merges.
     """
 
     def __init__(self, path: str):
@@ -152,15 +128,19 @@ class MergeCounter(dict):
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.tok = library(path)
         self.plain = re.compile(rb"[A-Za-z]+\Z")
+        self.size = 0
 
     def __missing__(self, chunk: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
         if self.plain.match(chunk):
             value = self.piece(chunk.lower().decode())
         else:
             value = self.chunk(chunk.decode("utf-8", "surrogatepass"))
-        self[chunk] = value
+        if len(chunk) <= LONGEST:
+            self.size += len(chunk) + ENTRY
+            if self.size > REMEMBERED:
+                self.clear()
+                self.size = len(chunk) + ENTRY
+            self[chunk] = value
         return value
 
     def chunk(self, text: str) -> int:
@@ -177,23 +157,28 @@ class MergeCounter(dict):
         if not symbols:
             return 0
         symbols[-1] += self.end
-        n, rank, merged = len(symbols), self.rank, 0
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]
+        n, rank, merged = len(symbols), self.rank.get, 0
+        make = list if n < 1000 else lambda r: array("q", r)
+        after, before = make(range(1, n + 1)), make(range(-1, n - 1))
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        heap = [r << bits | i for i, pair in enumerate(pairwise(symbols)) if (r := rank(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if symbols[i] != a or (j := after[i]) >= n or symbols[j] != b:
+            lowest = heapq.heappop(heap)
+            i = lowest & place
+            if (j := after[i]) >= n or rank((symbols[i], symbols[j])) != lowest >> bits:
                 continue
-            symbols[i], symbols[j] = a + b, None
+            symbols[i], symbols[j] = joint, _ = symbols[i] + symbols[j], None
             merged += 1
             after[i] = k = after[j]
+            after[j] = n
             if k < n:
                 before[k] = i
-                if (r := rank.get((symbols[i], symbols[k]))) is not None:
-                    heapq.heappush(heap, (r, i, symbols[i], symbols[k]))
-            if (h := before[i]) >= 0 and (r := rank.get((symbols[h], symbols[i]))) is not None:
-                heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
+                if (r := rank((joint, symbols[k]))) is not None:
+                    heapq.heappush(heap, r << bits | i)
+            if (h := before[i]) >= 0 and (r := rank((symbols[h], joint))) is not None:
+                heapq.heappush(heap, r << bits | h)
         return n - merged
 
     def text(self, text: str | None) -> int:
