@@ -107,34 +107,37 @@ def grid_clusters(df: DataFrame, lat: str, lng: str, zoom: int, steps: Sequence[
     return ok.groupBy(F.floor(F.col(lat) / cell).alias("cell_y"), F.floor(F.col(lng) / cell).alias("cell_x")).agg(n.alias("n_points"), F.avg(lat).alias("lat"), F.avg(lng).alias("lng"), size.alias("size_class"))
 
 
-def adjudicate(source, link, place, same_place: Column, place_ok: Column, fallback, source_in: Column, link_in: Column, near_place: float = 1.5, near_source: float = 0.35) -> Column:
-    """struct(lat, lng, origin, confidence) from up to four points; points are struct(lat, lng) columns, nullable.
+def adjudicate(source, link, place, same_place: Column, place_ok: Column, fallback, source_in: Column, link_in: Column, near_place: float = 0.35, near_source: float = 0.35) -> Column:
+    """struct(lat, lng, origin, confidence, note) from up to four points; points are struct(lat, lng) columns, nullable.
 
     link: from the record's map link; place: the matched place, same_place: by id, place_ok: its name or address
     agrees. In order: the matched place if ids agree and the link has no usable point; the link if the place is
     the same or near; hidden if link and agreeing place are apart; the link alone; the source near an agreeing
-    place; the source; an agreeing place; the fallback; hidden.
+    place; the source; an agreeing place; the fallback; hidden. Distances are kilometres (fixed values); the note is a
+    key that tells what was done: a source further than near_source from the link that replaced it has drifted.
     """
     s, l, p, f = (_c(x) for x in (source, link, place, fallback))
     none = F.lit(None).cast("double")
 
-    def out(point, origin, confidence):
-        return F.struct((point["lat"] if point is not None else none).alias("lat"), (point["lng"] if point is not None else none).alias("lng"), F.lit(origin).cast("string").alias("origin"), F.lit(confidence).alias("confidence"))
+    def out(point, origin, confidence, note):
+        return F.struct((point["lat"] if point is not None else none).alias("lat"), (point["lng"] if point is not None else none).alias("lng"), F.lit(origin).cast("string").alias("origin"), F.lit(confidence).alias("confidence"), (note if isinstance(note, Column) else F.lit(note).cast("string")).alias("note"))
 
     has = p.isNotNull()
     linked, sourced, same, ok = (F.coalesce(c, F.lit(False)) for c in (link_in, source_in, same_place, place_ok))
     gap = haversine_km(l["lat"], l["lng"], p["lat"], p["lng"]) <= near_place
-    drift = haversine_km(s["lat"], s["lng"], p["lat"], p["lng"]) <= near_place
+    near = haversine_km(s["lat"], s["lng"], p["lat"], p["lng"]) <= near_place
+    apart = haversine_km(s["lat"], s["lng"], l["lat"], l["lng"]) > near_source
+    moved = lambda drifted, agrees, alone: F.when(sourced & apart, drifted).when(sourced, agrees).otherwise(alone)
     return (
-        F.when(has & same & ~linked, out(p, "place", "place_verified"))
-        .when(linked & has & (same | gap), out(l, "link", "place_verified"))
-        .when(linked & has & ok, out(None, None, "location_conflict"))
-        .when(linked, out(l, "link", "link_verified"))
-        .when(sourced & has & ok & drift, out(s, "place", "place_verified"))
-        .when(sourced, out(s, "source", "source"))
-        .when(has & ok, out(p, "place", "place_verified"))
-        .when(f.isNotNull(), out(f, "fallback", "address_validated"))
-        .otherwise(out(None, None, "none"))
+        F.when(has & same & ~linked, out(p, "place", "place_verified", "link_names_the_place"))
+        .when(linked & has & (same | gap), out(l, "link", "place_verified", moved("source_drifted_from_verified_link", "link_and_place_agree", "link_and_place_agree_without_source")))
+        .when(linked & has & ok, out(None, None, "location_conflict", "link_and_place_disagree"))
+        .when(linked, out(l, "link", "link_verified", moved("source_drifted_from_link", "source_matches_link", "link_without_source")))
+        .when(sourced & has & ok & near, out(s, "place", "place_verified", "source_matches_place"))
+        .when(sourced, out(s, "source", "source", None))
+        .when(has & ok, out(p, "place", "place_verified", "source_unusable_place_used"))
+        .when(f.isNotNull(), out(f, "fallback", "address_validated", "source_invalid_fallback_used"))
+        .otherwise(out(None, None, "none", "nothing_validated"))
     )
 
 

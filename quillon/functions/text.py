@@ -44,7 +44,7 @@ def slug(x) -> Column:
 def title_words(x) -> Column:
     """First letter of every word in upper case, the rest as it is."""
     words = F.split(compact_space(x), " ")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), " ")
 
 
 #: Address words and their short forms.

@@ -37,18 +37,23 @@ def merge_arrays(df: DataFrame, key: str, ordinal: str, arrays: Sequence[str]) -
 def unique_ids(df: DataFrame, base: Column, extended: Column, stable_key: Column, name: str = "record_id") -> DataFrame:
     """df with an id: the base where it is unique; else the extended form; else that and eight hex digits of SHA-1.
 
-    Two passes over groups instead of one loop over rows, so the result doesn't depend on the order: an extended id
-    counts as taken if another row has it as base or extended id.
+    Passes over groups instead of one loop over rows, so the result doesn't depend on the order: an extended id counts
+    as taken if another row has it as base or extended id. An id with a suffix that rows of another key have as well
+    gets all 40 digits. Null bases and extended ids name nothing and never count as unique: such a row ends with its
+    suffix alone. Every row stays; rows of one stable key (repeated rows) may share an id.
     """
-    step = df.withColumn("b_", base).withColumn("e_", extended).withColumn("h_", F.substring(F.sha1(stable_key.cast("string")), 1, 8))
+    step = df.withColumn("b_", base).withColumn("e_", extended).withColumn("h_", F.sha1(F.coalesce(stable_key.cast("string"), F.lit(""))))
     n_base = step.groupBy(F.col("b_").alias("b2_")).agg(F.count("*").alias("n_"))
-    step = step.join(n_base, F.col("b_") == F.col("b2_")).drop("b2_")
-    wanted = F.when(F.col("n_") == 1, F.col("b_")).otherwise(F.col("e_"))
-    step = step.withColumn("w_", wanted)
+    step = step.join(n_base, F.col("b_").eqNullSafe(F.col("b2_"))).drop("b2_")
+    own = (F.col("n_") == 1) & F.col("b_").isNotNull()
+    step = step.withColumn("w_", F.when(own, F.col("b_")).otherwise(F.col("e_")))
     n_wanted = step.groupBy(F.col("w_").alias("w2_")).agg(F.count("*").alias("m_"))
-    step = step.join(n_wanted, F.col("w_") == F.col("w2_")).drop("w2_")
-    final = F.when((F.col("n_") == 1) | (F.col("m_") == 1), F.col("w_")).otherwise(F.concat_ws("-", "w_", "h_"))
-    return step.withColumn(name, final).drop("b_", "e_", "h_", "n_", "m_", "w_")
+    step = step.join(n_wanted, F.col("w_").eqNullSafe(F.col("w2_"))).drop("w2_")
+    plain = own | ((F.col("m_") == 1) & F.col("w_").isNotNull())
+    step = step.withColumn("p_", plain).withColumn("f_", F.when(plain, F.col("w_")).otherwise(F.concat_ws("-", "w_", F.substring("h_", 1, 8))))
+    clash = step.groupBy(F.col("f_").alias("f2_")).agg((F.min("h_") != F.max("h_")).alias("c_"))
+    step = step.join(clash, F.col("f_") == F.col("f2_"))
+    return step.withColumn(name, F.when(F.col("c_") & ~F.col("p_"), F.concat_ws("-", "w_", "h_")).otherwise(F.col("f_"))).drop("b_", "e_", "h_", "n_", "m_", "w_", "p_", "f_", "f2_", "c_")
 
 
 def carry_forward(df: DataFrame, partition: Sequence[str], ordinal: str, value: Column, name: str) -> DataFrame:

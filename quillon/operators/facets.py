@@ -78,8 +78,8 @@ def page(df: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     return df.limit(number * size)
 
 
-def batches(df: DataFrame, size: int, order: str) -> DataFrame:
-    """df with batch_no = position div size in the order of a unique column.
+def positions(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with every row's position from 0 in the order of a unique column.
 
     Positions come from counts of value ranges, so there is no window over the whole table.
     """
@@ -93,7 +93,12 @@ def batches(df: DataFrame, size: int, order: str) -> DataFrame:
         before += k
     small = spark.createDataFrame(starts, "q_ int, s_ long")
     local = ranged.withColumn("r_", F.expr(f"row_number() over (partition by p_ order by `{order}`)"))
-    return local.join(F.broadcast(small), F.col("p_") == F.col("q_")).withColumn("batch_no", F.floor((F.col("s_") + F.col("r_") - 1) / size)).drop("p_", "q_", "s_", "r_")
+    return local.join(F.broadcast(small), F.col("p_") == F.col("q_")).withColumn(name, F.col("s_") + F.col("r_") - 1).drop("p_", "q_", "s_", "r_")
+
+
+def batches(df: DataFrame, size: int, order: str) -> DataFrame:
+    """df with batch_no = position div size in the order of a unique column."""
+    return positions(df, order, "i_").withColumn("batch_no", F.floor(F.col("i_") / size)).drop("i_")
 
 
 def overview(df: DataFrame, counts: Mapping[str, Column], distinct: Mapping[str, str] = {}) -> DataFrame:  # noqa: B006

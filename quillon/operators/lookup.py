@@ -95,7 +95,7 @@ def resolve_aliases(rows: DataFrame, names: str, aliases: DataFrame, key: str, o
 def _name_keys(name: Column) -> Column:
     """struct(key, tier) of a name, best tier first: whole, without a leading "the", first two words, first word."""
     words = F.filter(F.split(match_text(name), " "), lambda w: w != "")
-    bare = F.when((F.size(words) > 1) & (F.element_at(words, 1) == "the"), F.slice(words, 2, 50)).otherwise(words)
+    bare = F.when((F.size(words) > 1) & (F.element_at(words, 1) == "the"), F.slice(words, 2, F.size(words))).otherwise(words)
     join = lambda a: F.array_join(a, "")
     tiers = [join(words), join(bare), F.when(F.size(bare) >= 2, join(F.slice(bare, 1, 2))), join(F.slice(bare, 1, 1))]
     return F.filter(F.array(*[F.struct(t.alias("key"), F.lit(i).alias("tier")) for i, t in enumerate(tiers)]), lambda s: s["key"].isNotNull() & (s["key"] != ""))
@@ -124,13 +124,17 @@ def first_match(left: DataFrame, right: DataFrame, on: Column, accept: Column, k
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str, *columns: str, group: str | None = None) -> DataFrame:
-    """i-th right row to the i-th left row, within groups; rows without a partner get nulls."""
-    lw = W.partitionBy(*([group] if group else [F.lit(0)])).orderBy(left_order)
-    rw = W.partitionBy(*([group] if group else [F.lit(0)])).orderBy(right_order)
-    a = left.withColumn("i_", F.row_number().over(lw))
-    b = right.select(*([F.col(group).alias("g_")] if group else []), F.row_number().over(rw).alias("j_"), *columns)
-    on = F.col("i_") == F.col("j_")
-    return a.join(b, on & F.col(group).eqNullSafe(F.col("g_")) if group else on, "left").drop("i_", "j_", "g_")
+    """i-th right row to the i-th left row, within groups; rows without a partner get nulls. Without a group,
+    positions come from counts of value ranges, not from one task."""
+    if group is None:
+        from quillon.operators.facets import positions
+
+        a = positions(left, left_order, "i_")
+        b = positions(right, right_order, "j_").select("j_", *columns)
+        return a.join(b, F.col("i_") == F.col("j_"), "left").drop("i_", "j_")
+    a = left.withColumn("i_", F.row_number().over(W.partitionBy(group).orderBy(left_order)))
+    b = right.select(F.col(group).alias("g_"), F.row_number().over(W.partitionBy(group).orderBy(right_order)).alias("j_"), *columns)
+    return a.join(b, (F.col("i_") == F.col("j_")) & F.col(group).eqNullSafe(F.col("g_")), "left").drop("i_", "j_", "g_")
 
 
 def read_through(keys: DataFrame, cache: DataFrame, key: str, value: str) -> DataFrame:

@@ -169,15 +169,27 @@ def best_text(pages: DataFrame, key: str, title: str, name: Column, candidates:
 COLUMN_STARTS = (("name", 0), ("address", 16), ("room", 40), ("exclusions", 64), ("contact", 88))
 
 
+#: What makes a segment a contact or an exclusion wherever it starts.
+CONTACT_STARTS = ("+", "reservations-", "reservations.", "wreservations.", "tlc.sinlb.")
+EXCLUSION_STARTS = ("subject to availability", "opening q2", "\u2022")
+
+
+def segment_field(start: int, text: str) -> str:
+    """Column of a segment of the fixed-width listing: told by its content, else by where it starts."""
+    t, by_place = text.strip().lower(), [n for n, first in COLUMN_STARTS if start >= first][-1]
+    if by_place == "contact" or "@" in t or t.endswith(".com") or t.startswith(CONTACT_STARTS):
+        return "contact"
+    return "exclusions" if t.startswith(EXCLUSION_STARTS) else by_place
+
+
 @F.udtf(returnType="line_no int, field string, text string")
 class FixedWidth:
-    """Segments of a fixed-width text: runs between three or more blanks, put into the column their start lies in."""
+    """Segments of a fixed-width text: runs between three or more blanks, put into a column by segment_field."""
 
     def eval(self, text: str):
         for i, line in enumerate((text or "").split("\n")):
             for m in re.finditer(r"\S(?:.*?\S)??(?=\s{3,}|\s*$)", line):
-                field = [n for n, start in COLUMN_STARTS if m.start() >= start][-1]
-                yield i, field, " ".join(m[0].split())
+                yield i, segment_field(m.start(), m[0]), " ".join(m[0].split())
 
 
 @F.udtf(returnType="block_no int, first_line int, text string")
@@ -195,6 +207,42 @@ class Blocks:
                 held, n = [], n + 1
 
 
+def starts_entry(line: str) -> bool:
+    """Whether a line has a name and, in the address column, a house number of up to four digits before a word."""
+    found = [(m.start(), m[0]) for m in re.finditer(r"\S(?:.*?\S)??(?=\s{3,}|\s*$)", line)]
+    _, address, room = (first for _, first in COLUMN_STARTS[:3])
+    return any(at < address for at, _ in found) and any(address <= at < room and re.match(r"\d{1,4}\s+[A-Za-z]", t) for at, t in found)
+
+
+@F.udtf(returnType="block_no int, first_line int, text string")
+class Listing:
+    """Entries of the listing's table: from two lines below its heads to its terms; blank lines and lines that start an
+    entry part them, page numbers go. A text without heads (or the anchor) and terms after them has none."""
+
+    #: Words of the heads, what stands in the first line if there are none, and the line after the table.
+    HEADS, ANCHOR, TERMS = ("Participating", "Eligible Room Type"), "The Fullerton", "Terms and Conditions"
+
+    def eval(self, text: str):
+        lines = (text or "").split("\n")
+        where = lambda test: next((i for i, line in enumerate(lines) if test(line)), None)
+        head = where(lambda line: all(w in line for w in self.HEADS))
+        head = where(lambda line: self.ANCHOR in line) if head is None else head
+        end = where(lambda line: line.startswith(self.TERMS))
+        if head is None or end is None or end <= head:
+            return
+        held, first, n = [], 0, 0
+        for i in range(head + 2, end + 1):
+            line = lines[i] if i < end else ""
+            if line.strip().isdecimal():
+                continue
+            if held and (not line.strip() or starts_entry(line)):
+                yield n, first, "\n".join(held)
+                held, n = [], n + 1
+            if line.strip():
+                first = i if not held else first
+                held.append(line.rstrip())
+
+
 @F.udtf(returnType="number int, text string")
 class Clauses:
     """Numbered clauses ("1. text") with their continuation lines; numbers have to follow one another from 1."""
@@ -256,8 +304,45 @@ def localized(json_column, field: str, locale: str = "en") -> Column:
 
 
 def station_hints(text) -> Column:
-    """Distinct names before "station" or "sta."."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"([A-Z][A-Za-z'-]*(?: [A-Z][A-Za-z'-]*){0,2}) (?:Station|Sta\.)"), 1))
+    """Names before "station" or "sta.", one of each that differ in more than case and punctuation; the last one
+    comes first where the text speaks of the nearest station."""
+    t = F.coalesce(_c(text), F.lit(""))
+    names = F.regexp_extract_all(t, F.lit(r"(?i:nearest station(?: is|:)? ?)?([A-Z][A-Za-z'-]*(?: [A-Z][A-Za-z'-]*){0,2}) (?:Station|Sta\.)"), 1)
+    n = F.size(names)
+    names = F.when(F.lower(t).contains("nearest station") & (n > 1), F.concat(F.slice(names, -1, 1), F.slice(names, 1, n - 1))).otherwise(names)
+    keys = F.transform(names, lambda x: match_text(x))
+    return F.filter(names, lambda x, i: F.array_position(keys, match_text(x)) == i + 1)
+
+
+def search_variants(names, city, prefecture, prefix, locations, digits, block, phones) -> Column:
+    """Distinct array<struct(label, text)> of a venue's search queries, by name and then by phone alone.
+
+    names (of which the first four without Japanese signs count), locations (four) and phones are arrays; prefix is
+    the place's part of the search URL. For each name: alone, with the city, with city and prefecture; with each
+    location and the address's digits, within the prefecture and overall; with the address block and two phones; at
+    last three phones. Queries by prefecture need the prefix; those overall need city and prefecture.
+    """
+    none = F.array().cast("array<string>")
+    texts = lambda a, n: F.filter(F.slice(F.coalesce(_c(a), none), 1, n), lambda x: F.coalesce(x, F.lit("")) != "")
+    one = lambda x: F.filter(F.array(_c(x).cast("string")), lambda y: F.coalesce(y, F.lit("")) != "")
+    city, prefecture = F.trim(F.coalesce(_c(city), F.lit(""))), F.trim(F.coalesce(_c(prefecture), F.lit("")))
+    here, overall = F.coalesce(_c(prefix), F.lit("")) != "", (city != "") & (prefecture != "")
+    japanese = r"[\u3040-\u30ff\u3400-\u9fff]"
+
+    def query(when, kind, shown, text):
+        return F.when(when, F.struct(F.concat(F.lit(kind + ":"), shown).alias("label"), text.alias("text")))
+
+    def of(name):
+        words = lambda *w: F.concat_ws(" ", name, *w)
+        places = F.concat(texts(locations, 4), one(digits))
+        first = F.array(query(here, "prefecture_name", name, name), query(here & (city != ""), "prefecture_name_city", words(city), words(city)), query(overall, "global_name_city_prefecture", words(city, prefecture), words(city, prefecture)))
+        by_place = F.flatten(F.transform(places, lambda p: F.array(query(here, "prefecture_name_location", words(p), words(p)), query(overall, "global_name_location", words(p), words(p, prefecture)))))
+        extra = F.transform(F.concat(one(block), texts(phones, 2)), lambda p: query(here, "prefecture_name_extra", words(p), words(p)))
+        return F.concat(first, by_place, extra)
+
+    usable = F.slice(F.filter(F.coalesce(_c(names), none), lambda x: (F.coalesce(x, F.lit("")) != "") & ~x.rlike(japanese)), 1, 4)
+    found = F.concat(F.flatten(F.transform(usable, of)), F.transform(texts(phones, 3), lambda p: query(here, "prefecture_phone_only", p, p)))
+    return F.array_distinct(F.filter(found, lambda q: q.isNotNull() & ((match_text(q["text"]) != "") | q["text"].rlike(japanese))))
 
 
 def query_variants(name: Column, city: Column, district: Column, phone: Column, limit: int = 28) -> Column:

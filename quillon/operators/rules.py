@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.text import _c, compact_space
+from quillon.functions.text import _c, compact_space, title_words
 
 #: English function words.
 ENGLISH = ("a", "also", "an", "and", "are", "as", "at", "be", "been", "but", "by", "for", "from", "has", "have", "in", "is", "it", "its", "not", "of", "on", "or", "our", "that", "the", "their", "this", "to", "was", "we", "were", "when", "where", "which", "who", "with", "you")
@@ -95,7 +95,7 @@ def drop_navigation(text) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: (F.element_at(n, i) > 6) | ((i > 1) & (F.element_at(n, i) > 2 * F.element_at(n, F.greatest(i - 1, F.lit(1))))))
         first = F.coalesce(F.array_min(starts), F.lit(1))
         long = F.size(parts) > 3
-        out = F.when(long & (first > 1), compact_space(F.array_join(F.slice(parts, first, 1000), " "))).otherwise(out)
+        out = F.when(long & (first > 1), compact_space(F.array_join(F.slice(parts, first, F.size(parts)), " "))).otherwise(out)
     return out
 
 
@@ -144,6 +144,46 @@ def longest_alias(text, aliases: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
+def geo_title(x) -> Column:
+    """Hyphens become blanks and every word starts in upper case; null if nothing is left."""
+    return F.nullif(title_words(F.regexp_replace(compact_space(x), "-", " ")), F.lit(""))
+
+
+#: Areas that are no districts.
+AREAS = ("Tokyo", "Yokohama/Kawasaki", "Kamakura/Hayama/Shonan", "Greater Tokyo Area", "Kyoto/Osaka/Nara", "Chubu/Tokai/Karuizawa", "Kanazawa/Toyama/Hokuriku", "Hokkaido", "Tohoku", "Chugoku/Shikoku", "Kyushu/Okinawa")
+
+
+def infer_city(address, prefecture, area, town) -> Column:
+    """City of a Japanese address: Tokyo by prefecture or address part; the first part that ends in -shi; the first in
+    -machi, -cho, -son or -mura; Kyoto, Osaka or Nara named anywhere; Tokyo by area; else prefecture, town, area, "Japan"."""
+    parts = F.filter(F.transform(F.split(F.coalesce(_c(address), F.lit("")), ","), compact_space), lambda p: p != "")
+
+    def ending(pattern):
+        found = F.transform(F.filter(parts, lambda p: F.lower(p).rlike(rf"-({pattern})$")), lambda p: geo_title(F.regexp_replace(p, "-[^-]*$", "")))
+        return F.get(F.array_compact(found), F.lit(0))
+
+    named = F.lower(F.array_join(parts, " "))
+    pre = F.nullif(_c(prefecture), F.lit(""))
+    out = F.when(F.coalesce(pre == "Tokyo", F.lit(False)) | F.array_contains(parts, "Tokyo"), F.lit("Tokyo"))
+    out = out.when(ending("shi").isNotNull(), ending("shi")).when(ending("machi|cho|son|mura").isNotNull(), ending("machi|cho|son|mura"))
+    for city in ("Kyoto", "Osaka", "Nara"):
+        out = out.when(named.contains(city.lower()), city)
+    out = out.when(pre.isNull() & _c(area).isin("Tokyo", "Greater Tokyo Area"), "Tokyo").when(pre.isNotNull(), F.coalesce(geo_title(pre), F.lit("Japan")))
+    return out.otherwise(F.coalesce(geo_title(town), geo_title(area), F.lit("Japan")))
+
+
+def infer_district(town, area, city, areas: Sequence[str] = AREAS) -> Column:
+    """The town, else the area if it is none of the large ones, unless it is the city itself; null if neither."""
+    t, a, c = compact_space(town), F.nullif(_c(area), F.lit("")), F.lower(_c(city))
+    return F.when((t != "") & ~F.lower(t).eqNullSafe(c), t).when(a.isNotNull() & ~a.isin(*areas) & ~F.lower(a).eqNullSafe(c), a)
+
+
+def service_price(ranges, service: str) -> Column:
+    """struct(min, max) of the first price range of a service type in array<struct(serviceType, min, max)>; null if none."""
+    first = F.get(F.filter(_c(ranges), lambda r: r["serviceType"] == service), F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first["min"].alias("min"), first["max"].alias("max")))
+
+
 def contacts(lines) -> Column:
     """struct(email, phone, url, mode) of contact lines."""
     text = F.array_join(_c(lines), " ")

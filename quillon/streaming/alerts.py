@@ -54,7 +54,11 @@ def append_log(sent: DataFrame, path: str, at) -> None:
 
 
 def alert_processor():
-    """StatefulProcessor over (scope, has_match, expired) rows: the same step with the sent events as state."""
+    """StatefulProcessor over (scope, has_match, expired) rows: the same step with the sent events as state.
+
+    A scope's rows may come in several frames, in any order. Only the first two rows by seq of each kind (match,
+    expired, open) can cause events, so no more of them are held, and they are stepped through in seq order at the end.
+    """
     from pyspark.sql.streaming import StatefulProcessor
 
     class Alerts(StatefulProcessor):
@@ -64,11 +68,15 @@ def alert_processor():
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             held = self.sent.get()
             state, out = frozenset((held[0] or "").split(",")) - {""} if held else frozenset(), []
+            first = pd.DataFrame({"seq": [], "has_match": [], "expired": []}).astype({"seq": "int64", "has_match": bool, "expired": bool})
             for pdf in rows:
-                for r in pdf.sort_values("seq").itertuples():
-                    state, event = step(state, bool(r.has_match), bool(r.expired))
-                    if event:
-                        out.append((key[0], event, int(r.seq)))
+                new = pd.DataFrame({"seq": pdf["seq"], "has_match": pdf["has_match"].eq(True), "expired": pdf["expired"].eq(True)})
+                every = pd.concat([first, new]).sort_values("seq", kind="stable")
+                first = every[every.groupby([every["has_match"], every["expired"] & ~every["has_match"]]).cumcount() < 2]
+            for r in first.itertuples():
+                state, event = step(state, bool(r.has_match), bool(r.expired))
+                if event:
+                    out.append((key[0], event, int(r.seq)))
             self.sent.update((",".join(sorted(state)),))
             yield pd.DataFrame(out, columns=["scope", "event", "seq"])
 
