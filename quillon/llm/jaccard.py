@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.shared import batch, bounded_batches, discard, id_and_text, materialize, pieces, tidy
+from quillon.llm.shared import batch, bounded_batches, discard, id_and_text, materialize, pieces, stable_splits, tidy
 from quillon.llm.textwork import WordHashes, shingle_set, sorted_overlap, space_words, utf8
 
 #: Words in a shingle; similarity in percent.
@@ -309,6 +309,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     their place in the scan, so docs must be a table or another plan that gives its rows in the same order each
     time (the pipeline's stages read Parquet).
     """
+    stable_splits(docs.sparkSession)
     rid = F.monotonically_increasing_id()
     slim = docs.select(rid.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, roots = link_classes(slim, k, percent)

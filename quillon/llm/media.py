@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from quillon.llm.textwork import utf8
 SAMPLE, SIDE, PAD = 192, 8, b" "
 #: Every so many samples one is marked as a sync sample; samples per second; samples per chunk.
 KEY_EVERY, RATE, PER_CHUNK = 12, 25, 64
+#: Levels of boxes that are opened.
+DEPTH = 16
 #: Fixed values of the format: boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"mvex", b"moof", b"traf", b"udta"}
 
@@ -74,40 +77,57 @@ def write_container(payload: bytes) -> bytes:
 
 
 def boxes(data: memoryview, at: int = 0, end: int | None = None, path: bytes = b""):
-    """(path, start of body, end) of every box, parents before children; a cut-off box ends its level."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+    """(path, start of body, end) of every box, parents before children; a cut-off box ends its level.
+
+    Containers more than DEPTH levels deep aren't opened: no real file nests so far, and a path grows with its depth.
+    """
+    levels = [(at, len(data) if end is None else end, path)]
+    while levels:
+        at, end, path = levels.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1 and at + 16 <= end:
             (size,), head = struct.unpack_from(">Q", data, at + 8), 16
         stop = end if size == 0 else at + size
         if size and size < head or stop > end:
-            return
+            continue
         yield path + kind, at + head, stop
-        if kind in CONTAINERS:
-            yield from boxes(data, at + head, stop, path + kind + b"/")
-        at = stop
+        levels.append((stop, end, path))
+        if kind in CONTAINERS and path.count(b"/") < DEPTH:
+            levels.append((at + head, stop, path + kind + b"/"))
 
 
 def _u32s(data: memoryview, at: int, n: int, step: int = 1) -> list[tuple]:
+    """n entries of `step` 32-bit numbers; a count of more entries than there are bytes is an error."""
+    if 4 * step * n > len(data) - at:
+        raise ValueError("table is longer than the file")
     return list(struct.iter_unpack(f">{step}I", data[at : at + 4 * step * n]))
 
 
+def _sizes(data: memoryview, at: dict[bytes, int]) -> list[int]:
+    """Sample sizes of stsz or stz2. A count of samples that hold more bytes than the file is an error."""
+    if b"stsz" in at:
+        one, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
+        if one * n > len(data):
+            raise ValueError("samples are larger than the file")
+        return [one] * n if one else [s for (s,) in _u32s(data, at[b"stsz"] + 12, n)]
+    field, n = struct.unpack_from(">II", data, at[b"stz2"] + 4)
+    field &= 0xFF
+    raw = data[at[b"stz2"] + 12 :]
+    if field not in (4, 8, 16) or n * field > 8 * len(raw):
+        raise ValueError("no table of compact sizes")
+    return [raw[i // 2] >> (0 if i % 2 else 4) & 15 if field == 4 else int.from_bytes(raw[i * field // 8 : (i + 1) * field // 8], "big") for i in range(n)]
+
+
 def _track(data: memoryview, parts: dict[bytes, tuple[int, int]]) -> dict:
     at = {k.rpartition(b"/")[2]: v[0] for k, v in parts.items()}
     version = data[at[b"mdhd"]]
     scale, duration = struct.unpack_from(">IQ" if version else ">II", data, at[b"mdhd"] + (20 if version else 12))
     codec = bytes(data[at[b"stsd"] + 12 : at[b"stsd"] + 16]).decode("latin-1")
     handler = bytes(data[at[b"hdlr"] + 8 : at[b"hdlr"] + 12]).decode("latin-1")
-    if b"stsz" in at:
-        one, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
-        sizes = [one] * n if one else [s for (s,) in _u32s(data, at[b"stsz"] + 12, n)]
-    else:
-        field, n = struct.unpack_from(">II", data, at[b"stz2"] + 4)
-        field &= 0xFF
-        raw = data[at[b"stz2"] + 12 :]
-        sizes = [raw[i // 2] >> (0 if i % 2 else 4) & 15 if field == 4 else int.from_bytes(raw[i * field // 8 : (i + 1) * field // 8], "big") for i in range(n)]
+    sizes = _sizes(data, at)
     if b"co64" in at:
         (n,) = struct.unpack_from(">I", data, at[b"co64"] + 4)
         starts = list(struct.unpack_from(f">{n}Q", data, at[b"co64"] + 8))
@@ -115,11 +135,15 @@ def _track(data: memoryview, parts: dict[bytes, tuple[int, int]]) -> dict:
         (n,) = struct.unpack_from(">I", data, at[b"stco"] + 4)
         starts = list(struct.unpack_from(f">{n}I", data, at[b"stco"] + 8))
     (n,) = struct.unpack_from(">I", data, at[b"stsc"] + 4)
+    if any(a[0] >= b[0] for a, b in pairwise(_u32s(data, at[b"stsc"] + 8, n, 3))):
+        raise ValueError("runs of chunks are out of order")
     runs = _u32s(data, at[b"stsc"] + 8, n, 3)
     offsets: list[int] = []
     for i, (first, per, _) in enumerate(runs):
         last = runs[i + 1][0] - 1 if i + 1 < len(runs) else len(starts)
-        for chunk in range(first - 1, last):
+        for chunk in range(first - 1, min(last, len(starts))):
+            if len(offsets) >= len(sizes):
+                break
             here = starts[chunk]
             for size in sizes[len(offsets) : len(offsets) + per]:
                 offsets.append(here)
@@ -131,18 +155,18 @@ def _track(data: memoryview, parts: dict[bytes, tuple[int, int]]) -> dict:
         keys = list(range(len(offsets)))
     (n,) = struct.unpack_from(">I", data, at[b"stts"] + 4)
     ticks = sum(c * d for c, d in _u32s(data, at[b"stts"] + 8, n, 2))
-    return {"handler": handler, "codec": codec, "timescale": scale, "duration": duration, "ticks": ticks, "offsets": offsets, "sizes": sizes[: len(offsets)], "keyframes": [(offsets[k], sizes[k]) for k in keys if k < len(offsets)]}
+    return {"handler": handler, "codec": codec, "timescale": scale, "duration": duration, "ticks": ticks, "offsets": offsets, "sizes": sizes[: len(offsets)], "keyframes": [(offsets[k], sizes[k]) for k in keys if 0 <= k < len(offsets)]}
 
 
 def probe_container(media: bytes | memoryview) -> list[dict]:
     """One dict per track that has a sample table; [] when nothing can be read."""
     data, tracks = memoryview(media), []
     for path, start, end in boxes(data):
-        if path.rpartition(b"/")[2] == b"trak":
+        if path in (b"trak", b"moov/trak"):
             parts = {p: (s, e) for p, s, e in boxes(data, start, end)}
             try:
                 tracks.append(_track(data, parts))
-            except (KeyError, IndexError, struct.error):
+            except (KeyError, IndexError, ValueError, struct.error):
                 continue
     return tracks
 
@@ -177,6 +201,14 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 PROBED = "codec string, duration_s double, n_samples long, keyframes array<struct<start:long,size:long>>"
+PROBED_FIELDS = [("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])))]
+
+
+def probed(track: dict | None) -> tuple:
+    """The columns of PROBED from a track; no track: nulls, no samples and no keyframes."""
+    if track is None:
+        return None, None, 0, []
+    return track["codec"], track["duration"] / max(1, track["timescale"]), len(track["offsets"]), [{"start": s, "size": n} for s, n in track["keyframes"]]
 
 
 def probe_media(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -185,14 +217,14 @@ def probe_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     Null or unreadable media give nulls (n_samples 0, no keyframes). Other columns pass through untouched.
     """
     keep = [c for c in df.columns if c != media_col]
-    arrow = pa.schema([("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])))])
+    arrow = pa.schema(PROBED_FIELDS)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
 
     def run(batches):
         for b in pieces(batches, 200):
             at = b.schema.get_field_index(media_col)
-            found = [next(iter(probe_container(m or b"")), None) for m in b.column(at).to_pylist()]
-            more = batch(arrow, [[t and t["codec"] for t in found], [t and t["duration"] / max(1, t["timescale"]) for t in found], [len(t["offsets"]) if t else 0 for t in found], [[{"start": s, "size": n} for s, n in t["keyframes"]] if t else [] for t in found]])
+            found = [probed(next(iter(probe_container(m or b"")), None)) for m in b.column(at).to_pylist()]
+            more = batch(arrow, [list(c) for c in zip(*found)] or [[]] * len(arrow))
             rest = [b.column(i) for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(rest + more.columns, names=keep + arrow.names)
 
@@ -202,10 +234,11 @@ def probe_media(df: DataFrame, media_col: str = "media") -> DataFrame:
 def media_digest(stored: DataFrame) -> DataFrame:
     """Digest of store_texts' rows from the stored bytes alone.
 
-    Adds payload_bytes, payload_sha256, tail_crc32 (last 16 bytes of the payload), media_bytes, media_sha256 and
-    feature ("codec|seconds|samples|keyframes|crc of the keyframe ranges").
+    Adds payload_bytes, payload_sha256, tail_crc32 (last 16 bytes of the payload), media_bytes, media_sha256,
+    feature ("codec|seconds|samples|keyframes|crc of the keyframe ranges"), and the columns of PROBED: codec,
+    duration_s, n_samples and the keyframes' byte ranges. The stored bytes are those that store_texts writes.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), *PROBED_FIELDS])
 
     def row(doc, n, media):
         track = probe_container(media)[0]
@@ -213,11 +246,11 @@ def media_digest(stored: DataFrame) -> DataFrame:
         keys = track["keyframes"]
         ranges = struct.pack(f"<{2 * len(keys)}Q", *(x for k in keys for x in k))
         feature = f"{track['codec'].strip()}|{track['duration'] / track['timescale']:.3f}|{len(track['sizes'])}|{len(keys)}|{zlib.crc32(ranges):08x}"
-        return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, *probed(track)
 
     def run(batches):
         for b in pieces(batches, 200):
             rows = [row(*r) for r in zip(*(c.to_pylist() for c in b.columns))]
             yield batch(schema, list(zip(*rows)) if rows else [[]] * len(schema))
 
-    return stored.select("doc_id", "n_bytes", F.col("media")).mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", F.col("media")).mapInArrow(tidy(run), f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, {PROBED}")

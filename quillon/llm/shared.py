@@ -22,6 +22,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def stable_splits(spark: SparkSession) -> None:
+    """Fix the least number of a scan's splits, which otherwise follows the number of executors alive: rows that are
+    told apart by their place in the scan keep it when an executor is lost. A session setting that changes no results."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
 def release() -> None:
     """Give memory that a finished task no longer uses back to the system: workers serve many tasks."""
     import ctypes

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from quillon.llm.tokens import chunk_ids, library
 
 #: Ids in a sequence; sequences in a record batch.
 LENGTH, ROWS = 2048, 256
+#: Bytes of input files, or else of texts, for which a token file of its own is made.
+FILE_BYTES = 256 << 20
 
 
 def _store(path: str):
@@ -26,12 +29,15 @@ def _store(path: str):
 
 
 class SequenceWriter:
-    """Packs ids into sequences of LENGTH and writes them as record batches of (ids, mask) fixed-size lists."""
+    """Packs ids into sequences of LENGTH and writes them as record batches of (ids, mask) fixed-size lists.
+
+    The mask is a byte an id (1: an id of a document, 0: filled up), so that it is read without a copy as well.
+    """
 
     def __init__(self, sink, width: int, length: int = LENGTH, rows: int = ROWS):
         kind = pa.uint16() if width == 2 else pa.uint32()
         self.dtype, self.length, self.rows = np.dtype(f"<u{width}"), length, rows
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out, self.held, self.size = pa.ipc.new_stream(sink, self.schema), [], 0
 
     def add(self, raw: bytes) -> None:
@@ -54,7 +60,7 @@ class SequenceWriter:
         self.held, self.size = [rest.tobytes()], len(rest)
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
+        mask = (np.arange(len(ids)) < real).view(np.uint8)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, self.schema.types)], schema=self.schema))
 
@@ -78,11 +84,11 @@ class SequenceReader:
 
     def _rows(self, column: str, start: int, n: int) -> np.ndarray:
         at = int(np.searchsorted(self.first, start, "right")) - 1
-        return self.batches[at].column(column).slice(start - int(self.first[at]), n).flatten().to_numpy(zero_copy_only=column == "ids")
+        return self.batches[at].column(column).slice(start - int(self.first[at]), n).flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i."""
-        return self._rows("ids", i, 1), self._rows("mask", i, 1)
+        """(ids, boolean mask) of sequence i, views of the file's buffers."""
+        return self._rows("ids", i, 1), self._rows("mask", i, 1).view(np.bool_)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids from the start-th real id of the file on."""
@@ -97,20 +103,30 @@ class SequenceReader:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def input_bytes(docs: DataFrame, text_col: str) -> int:
+    """Size of the files that docs reads, from their metadata alone; of a plan without files, the texts' bytes."""
+    try:
+        files = docs.select("_metadata.file_path", "_metadata.file_size").distinct()
+    except AnalysisException:
+        files = docs.select(F.octet_length(F.col(text_col).cast("string")).cast("long").alias("file_size"))
+    return files.agg(F.sum("file_size")).first()[0] or 0
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, rows: int = ROWS, files: int | None = None) -> DataFrame:
     """Write the ids of all documents, each closed by end_id, in ascending doc_id order; returns one row per file.
 
     Rows are dealt by ranges of (doc_id, hash of the text), nulls first, so a file never needs one machine for a
-    repeated id alone; equal rows may lie in any order among themselves. File k holds range k: `part-k.arrow`
-    (sequences and masks) and `part-k.index.arrow` (doc_id, start in the file, n_tokens). A file is written under
-    a name of its own attempt and then moved, so tasks can be lost and run again. The result has part, path,
-    n_docs, n_tokens and start (ids in all files before), and manifest.json holds the same; both are one row per
-    file, not per document. Null and empty texts are end_id alone; an empty table gives no files. files: how many
-    ranges; else as many as shuffle partitions.
+    repeated id alone; equal rows may lie in any order among themselves. File k holds range k: `part-k-x.arrow`
+    (sequences and masks) and `part-k-x.index.arrow` (doc_id, start in the file, n_tokens), x being the attempt's own.
+    Only attempts that ended well stand in the manifest, with both of their files, so tasks can be lost and run again
+    and readers that go by it never see files of two attempts. The result has part, path, n_docs, n_tokens and start
+    (ids in all files before), and manifest.json holds the same; both are one row per file, not per document. Null and
+    empty texts are end_id alone; an empty table gives no files. files: how many ranges; else as many as shuffle
+    partitions, or one for each FILE_BYTES of the input if that is more.
     """
     spark = docs.sparkSession
     width = 2 if library(vocabulary).get_vocab_size() <= 1 << 16 else 4
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs, text_col) // FILE_BYTES))
     slim = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).withColumn("rid", F.monotonically_increasing_id())
     dealt = slim.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h", "rid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "rid").select("doc_id", "text")
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -120,7 +136,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
 
         part, writer = TaskContext.get().partitionId(), None
         store, inner = _store(path)
-        mine, final = f"{inner}/_{part}-{uuid.uuid4().hex}", f"{inner}/part-{part:06d}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
+        mine = f"{inner}/{name}"
         ids, end, start, n_docs = chunk_ids(vocabulary, width), end_id.to_bytes(width, "little"), 0, 0
         kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         for b in pieces(batches):
@@ -140,9 +157,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
         if writer is not None:
             for x in (writer, index, *sinks):
                 x.close()
-            store.move(f"{mine}.arrow", f"{final}.arrow")
-            store.move(f"{mine}.index.arrow", f"{final}.index.arrow")
-            yield batch(schema, [[part], [f"{path.rstrip('/')}/part-{part:06d}"], [n_docs], [start]])
+            yield batch(schema, [[part], [f"{path.rstrip('/')}/{name}"], [n_docs], [start]])
 
     made = dealt.mapInArrow(tidy(run), "part int, path string, n_docs long, n_tokens long").collect()  # a row per file
     table, before = [], 0

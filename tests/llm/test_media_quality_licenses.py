@@ -3,6 +3,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,3 +140,37 @@ def test_license_labels_tell_licenses_and_versions_apart(spark):
     cases = [(notice.format(""), "cc-by-4.0"), (notice.format("-ShareAlike"), "cc-by-sa-4.0"), (notice.format("-NonCommercial"), ""), (notice.format("").replace("4.0", "3.0"), ""), (gpl.format("", 3), "gpl,gpl-3.0"), (gpl.format("", 2), "gpl"), (gpl.format("Lesser ", 3), ""), ("Licensed under the Apache License, Version 1.1.", "apache"), ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"), (longer, "apache,apache-2.0"), (longer.replace("2.0", "1.1"), "apache")]
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_hostile_media():
+    """Nesting without end, counts of 32 bits, runs out of order: nothing is read, and at once."""
+    nested = b""
+    for _ in range(1500):
+        nested = struct.pack(">I4s", 8 + len(nested), b"moov") + nested
+    assert media.probe_container(nested) == [] and len(list(media.boxes(memoryview(nested)))) == media.DEPTH + 1
+    good = media.write_container(media.padded(b"x" * 3000))
+    (track,) = media.probe_container(good)
+    for kind, at in ((b"stsz", 12), (b"stsc", 8), (b"stts", 8), (b"stss", 8), (b"stco", 8)):
+        place = good.index(kind) + at
+        assert media.probe_container(good[:place] + b"\xff\xff\xff\xff" + good[place + 4 :]) == []
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        bad = bytearray(good)
+        for place in rng.integers(0, len(bad), 6):
+            bad[place] = rng.integers(0, 256)
+        bad[int(rng.integers(3200, len(bad)))] = 255
+        assert all(len(t["offsets"]) <= len(bad) for t in media.probe_container(bytes(bad)))
+
+
+def test_media_columns_against_the_stored_form(spark):
+    docs = awkward(spark)
+    text = {}
+    for r in docs.collect():
+        text.setdefault(r.doc_id, set()).add(r.text or "")
+    for r in media.media_digest(media.store_texts(docs)).collect():
+        assert r.codec == "raw " and r.n_samples * 192 == r.payload_bytes and r.duration_s == r.n_samples / media.RATE
+        assert [k.size for k in r.keyframes] == [192] * -(-r.n_samples // media.KEY_EVERY)
+        starts = [k.start for k in r.keyframes]
+        assert all(b - a == 192 * media.KEY_EVERY for a, b in zip(starts, starts[1:]))
+        ranges = b"".join(struct.pack("<QQ", k.start, k.size) for k in r.keyframes)
+        assert r.feature == f"raw|{r.duration_s:.3f}|{r.n_samples}|{len(r.keyframes)}|{zlib.crc32(ranges):08x}"

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -327,3 +328,23 @@ def test_word_hashes_stay_bounded(monkeypatch):
     h = WordHashes()
     words = [str(i).encode() for i in range(100)]
     assert h.of(words).tolist() == WordHashes().of(words).tolist() and len(h) <= 10
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a \"", "<a<a", "</script ", "<![CDATA[", "<p title=\"", "<a ' \""])
+@pytest.mark.parametrize("end", ["", "'>", "\">\"", ">"])
+def test_pages_of_cut_tags_take_linear_time(part, end):
+    """In a second and in all; a scan per tag would take hours."""
+    start = time.process_time()
+    html_text.page_lines("<script>" * (part == "</script ") + part * (1_000_000 // len(part)) + end)
+    assert time.process_time() - start < 10
+
+
+def test_deep_and_unopened_elements_take_linear_time():
+    start = time.process_time()
+    assert html_text.page_lines("<div>" * 100_000 + "x" + "</b>" * 100_000 + "</div>" * 100_000) == [("x", html_text.PLAIN_ROLE)]
+    assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize("source,want", [("<p title='a>b'>x</p>", ["x"]), ("a <b c", ["a"]), ("<p \"x>y", ["<p \"x>y"]), ("<a href=\"<b>\">t</a>", ["t"]), ("<p a=\"1\"\n b='<'>t", ["t"]), ("1 < 2 > 0", ["1 < 2 > 0"]), ("<script>a</script x='>'>b", ["'>b"]), ("<title>t</title>u", ["u"])])
+def test_tags_end_outside_quotes(source, want):
+    assert [t for t, _ in html_text.page_lines(source)] == want

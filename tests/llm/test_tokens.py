@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from quillon.llm.packing import pack_documents, pack_window
 from quillon.llm.token_counts import count_tokens
+from quillon.llm import token_files
 from quillon.llm.token_files import SequenceReader, read_token_files, write_token_files
 from quillon.llm.tokens import ChunkIds, MergeCounter
 from tests.llm.cases import awkward, clashing, empty
@@ -126,7 +127,25 @@ def test_token_files_round_trip(spark, tmp_path):
     reader = SequenceReader(f"file://{tmp_path}/tokens/{sorted(files)[-1]}")
     ids, mask = reader.sequence(len(reader) - 1)
     assert len(ids) == len(mask) == 64 and mask[0] and not ids[~mask].any()
-    assert reader.sequence(0)[0].base is not None  # a view of the memory-mapped file
+    buffers = [reader.batches[0].column(c).flatten().buffers()[1] for c in ("ids", "mask")]
+    for view, held in zip(reader.sequence(0), buffers):  # views of the memory-mapped file
+        assert held.address <= view.__array_interface__["data"][0] < held.address + held.size and not view.flags.owndata
+    other = write_token_files(docs, VOCABULARY, 1, f"file://{tmp_path}/tokens", length=64, rows=4, files=3)  # as a repeated task would
+    assert not {r.path for r in other.collect()} & {r.path for r in manifest.collect()}
+    assert sorted(map(str, read_token_files(manifest).collect())) == sorted(map(str, got))
+
+
+def test_number_of_token_files_follows_the_input(spark, tmp_path, monkeypatch):
+    docs = awkward(spark)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    size = sum(os.path.getsize(f"{tmp_path}/docs/{f}") for f in os.listdir(f"{tmp_path}/docs") if f.endswith(".parquet"))
+    assert token_files.input_bytes(stored, "text") == size
+    assert token_files.input_bytes(docs, "text") == sum(len((r.text or "").encode()) for r in docs.collect())
+    assert token_files.input_bytes(empty(spark), "text") == 0
+    monkeypatch.setattr(token_files, "FILE_BYTES", size // 10)
+    manifest = write_token_files(stored, VOCABULARY, 1, f"file://{tmp_path}/many")
+    assert 5 <= manifest.count() <= 11 and sum(r.n_docs for r in manifest.collect()) == docs.count()
 
 
 def test_token_files_empty(spark, tmp_path):
