@@ -31,13 +31,14 @@ def _store(path: str):
 class SequenceWriter:
     """Packs ids into sequences of LENGTH and writes them as record batches of (ids, mask) fixed-size lists.
 
-    The mask is a byte an id (1: an id of a document, 0: filled up), so that it is read without a copy as well.
+    The mask is a byte an id (1: an id of a document, 0: filled up), so that it is read without a copy as well. As
+    all sequences but a file's last are full, masks are dictionary-encoded: each stands in the file once.
     """
 
     def __init__(self, sink, width: int, length: int = LENGTH, rows: int = ROWS):
         kind = pa.uint16() if width == 2 else pa.uint32()
         self.dtype, self.length, self.rows = np.dtype(f"<u{width}"), length, rows
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), length)))])
         self.out, self.held, self.size = pa.ipc.new_stream(sink, self.schema), [], 0
 
     def add(self, raw: bytes) -> None:
@@ -60,9 +61,12 @@ class SequenceWriter:
         self.held, self.size = [rest.tobytes()], len(rest)
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).view(np.uint8)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (ids, mask)]
-        self.out.write_batch(pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, self.schema.types)], schema=self.schema))
+        n, full = len(ids) // self.length, real // self.length
+        masks = [np.ones(self.length, np.uint8)] + [(np.arange(self.length) < real - full * self.length).astype(np.uint8)] * (n > full)
+        lists = lambda v, kind: pa.FixedSizeListArray.from_arrays(pa.array(v), type=kind)
+        places = pa.array([0] * full + [1] * (n - full), pa.int32())
+        mask = pa.DictionaryArray.from_arrays(places, lists(np.concatenate(masks), self.schema.field("mask").type.value_type))
+        self.out.write_batch(pa.RecordBatch.from_arrays([lists(ids, self.schema.field("ids").type), mask], schema=self.schema))
 
     def close(self) -> None:
         self._flush(True)
@@ -82,13 +86,13 @@ class SequenceReader:
     def __len__(self) -> int:
         return int(self.first[-1])
 
-    def _rows(self, column: str, start: int, n: int) -> np.ndarray:
-        at = int(np.searchsorted(self.first, start, "right")) - 1
-        return self.batches[at].column(column).slice(start - int(self.first[at]), n).flatten().to_numpy(zero_copy_only=True)
-
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, boolean mask) of sequence i, views of the file's buffers."""
-        return self._rows("ids", i, 1), self._rows("mask", i, 1).view(np.bool_)
+        at = int(np.searchsorted(self.first, i, "right")) - 1
+        ids, mask = self.batches[at].columns
+        row = i - int(self.first[at])
+        one = lambda lists, place: lists.slice(place, 1).flatten().to_numpy(zero_copy_only=True)
+        return one(ids, row), one(mask.dictionary, mask.indices[row].as_py()).view(np.bool_)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids from the start-th real id of the file on."""

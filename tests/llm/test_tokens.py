@@ -127,7 +127,10 @@ def test_token_files_round_trip(spark, tmp_path):
     reader = SequenceReader(f"file://{tmp_path}/tokens/{sorted(files)[-1]}")
     ids, mask = reader.sequence(len(reader) - 1)
     assert len(ids) == len(mask) == 64 and mask[0] and not ids[~mask].any()
-    buffers = [reader.batches[0].column(c).flatten().buffers()[1] for c in ("ids", "mask")]
+    held_ids, held_mask = reader.batches[0].columns
+    buffers = [x.flatten().buffers()[1] for x in (held_ids, held_mask.dictionary)]
+    for i in range(len(reader)):
+        assert reader.sequence(i)[1].all() == (i < len(reader) - 1 or mask.all())
     for view, held in zip(reader.sequence(0), buffers):  # views of the memory-mapped file
         assert held.address <= view.__array_interface__["data"][0] < held.address + held.size and not view.flags.owndata
     other = write_token_files(docs, VOCABULARY, 1, f"file://{tmp_path}/tokens", length=64, rows=4, files=3)  # as a repeated task would
