@@ -47,9 +47,10 @@ def word_ends(path: str) -> np.ndarray:
 class ChunkIds:
     """Ids of texts as little-endian unsigned integers of `width` bytes, by the tokenizers library.
 
-    The library gets the new chunks of a batch of texts. Plain words (letters of Latin scripts, below U+0250) go
-    joined with blanks, JOINED at a time, and are cut apart at the ids that close a word, of which there must be one
-    a word; all other chunks go as single texts.
+    The library gets the new chunks of a batch of texts. Plain words (letters of Latin scripts, below U+0250, and at
+    most one sign of punctuation after them, which is a word of its own) go joined with blanks, JOINED at a time, and
+    are cut apart at the ids that close a word; their number has to be right, else the chunks go as single texts, as
+    all other chunks do.
     """
 
     JOINED = 2000
@@ -58,24 +59,28 @@ class ChunkIds:
         self.tok, self.ends, self.width, self.dtype = library(path), word_ends(path), width, np.dtype(f"<u{width}")
         self.known: dict[bytes, bytes] = {}
         self.size = 0
-        self.plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,100}\\Z").match
+        self.plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,100}([.,;:!?)]?)\\Z").match
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        words, others, out = [], [], {}
+        words, closing, others, out = [], [], [], {}
         for chunk in new:
             text = chunk.decode("utf-8", "surrogatepass")
-            (words if self.plain(text) else others).append((chunk, text))
+            plain = self.plain(text)
+            (words if plain else others).append((chunk, text))
+            if plain:
+                closing.append(2 if plain[1] else 1)
         for at in range(0, len(words), self.JOINED):
             some = words[at : at + self.JOINED]
             ids = np.array(self._encode([" ".join(t for _, t in some)])[0], self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
+            upto = np.cumsum(closing[at : at + self.JOINED])
+            if len(stops) != upto[-1]:
                 others += some
                 continue
-            raw, cuts = ids.tobytes(), [0, *(stops * self.width).tolist()]
+            raw, cuts = ids.tobytes(), [0, *(stops[upto - 1] * self.width).tolist()]
             out.update((chunk, raw[a:z]) for (chunk, _), a, z in zip(some, cuts, cuts[1:]))
         for at in range(0, len(others), self.JOINED):
             some = others[at : at + self.JOINED]
