@@ -19,7 +19,7 @@ from quillon.llm.textwork import utf8
 
 #: Bytes that a worker's memory of chunks may take before it starts afresh, and what an entry costs beside its own
 #: bytes; longer chunks are not remembered. Bounds memory, not results.
-REMEMBERED, ENTRY, LONGEST = 96 << 20, 200, 100
+REMEMBERED, ENTRY, LONGEST = 192 << 20, 200, 100
 
 
 @lru_cache(maxsize=2)
@@ -65,26 +65,28 @@ class ChunkIds:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        texts = b"\n".join(new).decode("utf-8", "surrogatepass").split("\n")
+        plain = list(map(self.plain, texts))
         words, closing, others, out = [], [], [], {}
-        for chunk in new:
-            text = chunk.decode("utf-8", "surrogatepass")
-            plain = self.plain(text)
-            (words if plain else others).append((chunk, text))
-            if plain:
-                closing.append(2 if plain[1] else 1)
+        for i, m in enumerate(plain):
+            if m:
+                words.append(i)
+                closing.append(2 if m[1] else 1)
+            else:
+                others.append(i)
         for at in range(0, len(words), self.JOINED):
             some = words[at : at + self.JOINED]
-            ids = np.array(self._encode([" ".join(t for _, t in some)])[0], self.dtype)
+            ids = np.array(self._encode([" ".join([texts[i] for i in some])])[0], self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
             upto = np.cumsum(closing[at : at + self.JOINED])
             if len(stops) != upto[-1]:
                 others += some
                 continue
             raw, cuts = ids.tobytes(), [0, *(stops[upto - 1] * self.width).tolist()]
-            out.update((chunk, raw[a:z]) for (chunk, _), a, z in zip(some, cuts, cuts[1:]))
+            out.update(zip([new[i] for i in some], [raw[a:z] for a, z in pairwise(cuts)]))
         for at in range(0, len(others), self.JOINED):
             some = others[at : at + self.JOINED]
-            out.update((chunk, np.array(ids, self.dtype).tobytes()) for (chunk, _), ids in zip(some, self._encode([t for _, t in some])))
+            out.update((new[i], np.array(ids, self.dtype).tobytes()) for i, ids in zip(some, self._encode([texts[i] for i in some])))
         return out
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
