@@ -296,10 +296,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     slim = id_and_text(docs, id_col, text_col)
     rows, roots = link_classes(slim, k, percent, chunk)
-    placed = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = placed.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
-    least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.col("key").alias("class_key"))
+    some = rows.filter("n > 0")
+    classes = some.groupBy("key").agg(F.min("doc_id").alias("own"))
+    # smallest ids go from classes to components and back; rows meet their class alone, however large its component
+    inside = classes.join(roots, "key")
+    least = inside.select("key", "root").join(inside.groupBy("root").agg(F.min("own").alias("least")), "root").select("key", "least")
+    named = some.join(classes.join(least, "key", "left"), "key").select("doc_id", "n", F.coalesce("least", "own").alias("component_id"), "key")
+    alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "key")
+    return named.unionAll(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("class_key"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
