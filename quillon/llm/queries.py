@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, jaccard
+from quillon.llm import chat, decontamination, jaccard, merkle, variants
 from quillon.llm.html_text import extract_pages
 from quillon.llm.licenses import scan_licenses
 from quillon.llm.media import media_digest, store_texts
@@ -70,6 +70,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).withColumn("n_base", F.col("n_base").cast("long"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(merkle.merkle_manifest(_table(spark, sf_dir, "documents")))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size,
   ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
@@ -93,9 +105,9 @@ FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source LEFT JOIN f ON f.h = d.h
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_media, op2_chat, op3_token_counts, op4_jaccard, op5_html, op6_quality, op7_packing, op8_mixing, op9_token_files, op10_licenses)
+    own = (op1_media, op2_chat, op3_token_counts, op4_jaccard, op5_html, op6_quality, op7_packing, op8_mixing, op9_token_files, op10_licenses, op11_merkle, op12_decontamination, op13_variants)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE_SQL, "op4_jaccard": jaccard.ORACLE_SQL, "op8_mixing": MIX_SQL}
+    return {"op2_chat": chat.ORACLE_SQL, "op4_jaccard": jaccard.ORACLE_SQL, "op8_mixing": MIX_SQL, "op11_merkle": merkle.ORACLE_SQL, "op12_decontamination": decontamination.ORACLE_SQL, "op13_variants": variants.ORACLE_SQL}
