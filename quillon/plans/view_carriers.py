@@ -75,7 +75,7 @@ def latest_state_streamed(t):
 
     root = f"{shared_dir(t.spark)}/latest-{uuid.uuid4().hex}"
     latest.stream_latest(source, ["user_id", "event_type"], "ts", "event_id", f"{root}/state", f"{root}/checkpoint")
-    return t.spark.read.parquet(f"{root}/state/v=0").select("user_id", "event_type", "event_id")
+    return latest.read_latest(t.spark, f"{root}/state", t.events.schema).select("user_id", "event_type", "event_id")
 
 
 @carrier("WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) SELECT user_id::VARCHAR AS scope, 'confirmed' AS event, event_id AS seq FROM e WHERE r = 1 AND NOT p UNION ALL SELECT user_id::VARCHAR, 'matched', min(event_id) FROM e WHERE p GROUP BY 1")

@@ -1,0 +1,127 @@
+"""Kept state by bucket, and polls with guards and staleness timers."""
+
+import datetime as dt
+import random
+import time
+
+import pytest
+
+from quillon.streaming import latest, polls
+
+SCHEMA = "key string, at timestamp, seq long, ok boolean, force boolean, busy_ms long, value string"
+MIN = 60 * 1_000_000
+
+
+def put(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_a_batch_rewrites_the_buckets_of_its_keys(spark, tmp_path):
+    schema, where = "k string, at long, o long, v int, ok boolean", f"{tmp_path}/state"
+
+    def run(rows):
+        put(spark, f"{tmp_path}/in", rows, schema)
+        latest.stream_latest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["k"], "at", "o", where, f"{tmp_path}/cp", ok="ok", buckets=16)
+        return latest.current_versions(spark, where), {r.k: r.v for r in latest.read_latest(spark, where, schema).collect()}
+
+    first, state = run([(f"k{i}", i, i, i, True) for i in range(200)])
+    assert set(first) == set(range(16)) and set(first.values()) == {0} and len(state) == 200
+    second, state = run([("k7", 500, 1, -7, True)])
+    assert [v for v in second.values()].count(1) == 1 and state["k7"] == -7 and len(state) == 200
+    third, state = run([("k7", 600, 2, -8, False), ("k8", 1, 0, -9, True), ("new", 1, 1, 5, False)])
+    assert state["k7"] == -7 and state["k8"] == 8 and state["new"] == 5 and len(state) == 201
+    assert sum(v == 2 for v in third.values()) <= 3
+    kept = {(p.parent.name, p.name) for p in (tmp_path / "state" / "rows").glob("v=*/bucket=*")}
+    named = {(f"v={v}", f"bucket={b}") for x in (second, third) for b, v in x.items()}
+    assert kept == named  # what neither of the last two states names is gone
+
+
+def test_a_repeated_batch_starts_from_the_state_before_it(spark, tmp_path):
+    schema, where = "k string, at long, o long, v int", f"{tmp_path}/state"
+    for n, rows in enumerate([[("a", 1, 1, 1), ("b", 1, 1, 1)], [("a", 2, 2, 2)]]):
+        put(spark, f"{tmp_path}/in{n}", rows, schema)
+        latest.stream_latest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in{n}"), ["k"], "at", "o", where, f"{tmp_path}/cp{n}")
+    # both runs had the batch number 0: the second started from nothing, as a repeated first batch does
+    assert {r.k: r.v for r in latest.read_latest(spark, where, schema).collect()} == {"a": 2}
+    assert latest.read_latest(spark, f"{tmp_path}/none", schema).count() == 0
+
+
+def brute(rows, end, guard=polls.GUARD, stale=polls.STALE):
+    """Events by hand from rows (key, at, seq, ok, force, busy_ms, value), times in microseconds; end: the watermark."""
+    out = []
+    for key in {r[0] for r in rows}:
+        last = until = checked = None
+        told = True
+        said = None
+
+        def tell(now):
+            nonlocal told
+            if checked is not None and not told and now - checked > stale:
+                out.append((key, "stale", checked + stale, *said))
+                told = True
+
+        for _, at, seq, ok, force, busy, value in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]):
+            tell(at)
+            if until is not None and at < until:
+                out.append((key, "in_flight", at, seq, value))
+            elif last is not None and not force and at - last < guard:
+                out.append((key, "soon", at, seq, value))
+            else:
+                last, until = at, at + 1000 * (busy or 0)
+                if ok:
+                    checked, said, told = at, (seq, value), False
+                out.append((key, "fresh" if ok else "kept", at, seq, value if ok else said and said[1]))
+        tell(end)
+    return sorted(out, key=repr)
+
+
+def stamp(us):
+    return dt.datetime(2026, 1, 1, tzinfo=dt.UTC) + dt.timedelta(microseconds=us)
+
+
+def events(spark, path):
+    zero = stamp(0).replace(tzinfo=None)
+    rows = spark.read.parquet(path).selectExpr("key", "event", "cast(at as timestamp_ntz) at", "seq", "value").collect()
+    return sorted(((r.key, r.event, round((r.at - zero) / dt.timedelta(microseconds=1)), r.seq, r.value) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_polls_by_event_time(spark, tmp_path, batches):
+    """The events don't depend on how polls in order are split into micro-batches."""
+    rng = random.Random(batches)
+    rows = [(f"k{rng.randrange(6)}" if i % 9 else None, i * 40_000_000 + rng.randrange(10**6), i, rng.random() < 0.6, rng.random() < 0.2, rng.choice([0, 500, 90_000]), f"v{i}") for i in range(160)]
+    rows += [("quiet", 5 * MIN, 1000, True, False, 0, "first"), ("quiet", 90 * MIN, 1001, False, False, 0, "x"), ("end", 166 * MIN, 1002, True, False, 0, "clock")]
+    rows.sort(key=lambda r: r[1])
+    size = -(-len(rows) // batches)
+    for n in range(batches):
+        put(spark, f"{tmp_path}/in", [(k, stamp(at), *rest) for k, at, *rest in rows[n * size : (n + 1) * size]], SCHEMA)
+        source = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        polls.run_polls(source, f"{tmp_path}/out{n}", f"{tmp_path}/cp")
+    got = sorted((e for n in range(batches) for e in events(spark, f"{tmp_path}/out{n}")), key=repr)
+    assert got == brute(rows, 166 * MIN)
+    assert ("quiet", "stale", 35 * MIN, 1000, "first") in got and {e[1] for e in got} == {"fresh", "kept", "soon", "in_flight", "stale"}
+
+
+def test_stale_by_the_clock(spark, tmp_path):
+    """A timer of the clock fires in a later micro-batch that has no poll of the key."""
+    now = dt.datetime.now(dt.UTC)
+    put(spark, f"{tmp_path}/in", [("a", now - dt.timedelta(minutes=40), 1, True, False, 0, "old"), ("b", now, 2, True, False, 0, "new")], SCHEMA)
+    got, until = set(), time.monotonic() + 90
+    with polls.rocksdb(spark):
+        query = polls.start_polls(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", {"processingTime": "1 second"}, time_mode="ProcessingTime")
+        try:
+            while len(got) < 3 and time.monotonic() < until and query.isActive:
+                time.sleep(1)
+                if list(tmp_path.glob("out/b=*/_SUCCESS")):
+                    got = {(r.key, r.event, r.value) for r in spark.read.schema(polls.OUT).parquet(*{str(p.parent) for p in tmp_path.glob("out/b=*/_SUCCESS")}).collect()}
+        finally:
+            query.stop()
+    assert got == {("a", "fresh", "old"), ("b", "fresh", "new"), ("a", "stale", "old")}
+
+
+def test_one_poll_after_the_other():
+    s, e = polls.step(polls.State(), 0, 1, True, False, 5_000_000, "v")
+    assert [x[0] for x in e] == ["fresh"]
+    for at, force, want in [(-1, True, "late"), (1, True, "in_flight"), (5_000_000, False, "soon"), (5_000_000, True, "fresh"), (60_000_000, False, "fresh")]:
+        assert [x[0] for x in polls.step(s, at, 2, True, force, 0, "w")[1]] == [want]
+    assert [x[:2] for x in polls.step(s, 31 * MIN, 2, False, False, 0, "w")[1]] == [("stale", 30 * MIN), ("kept", 31 * MIN)]
