@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillon.operators import similar
+from quillon.operators import dyadic, ranges, similar
 from quillon.plans.registry import carrier
 from quillon.sources.shared import shared_dir
 from quillon.streaming import polls
@@ -63,3 +63,37 @@ def polls_streamed(t):
     root = f"{shared_dir(t.spark)}/polls-{uuid.uuid4().hex}"
     polls.run_polls(rows, f"{root}/out", f"{root}/checkpoint")
     return t.spark.read.parquet(f"{root}/out").select("key", "event", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "seq", "value")
+
+
+_SPANS = """o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS a, o_orderdate::DATE + (1 << (o_orderkey % 14))::INT AS b FROM orders),
+l AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate::DATE AS c, l_shipdate::DATE + l_linenumber AS d FROM lineitem)"""
+
+
+def _spans(t):
+    """Ranges of 1 to 8,192 days from the orders, of 1 to 7 from the lines."""
+    o = t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("a"), F.date_add("o_orderdate", F.call_function("shiftleft", F.lit(1), (F.col("o_orderkey") % 14).cast("int"))).alias("b"))
+    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.to_date("l_shipdate").alias("c"), F.date_add("l_shipdate", F.col("l_linenumber")).alias("d"))
+    return o, x, ("a", "b"), ("c", "d"), ("o_custkey", "l_suppkey")
+
+
+@carrier(f"WITH {_SPANS} SELECT o_orderkey, l_orderkey, l_linenumber FROM o JOIN l ON o_custkey = l_suppkey AND a < d AND c < b")
+def overlaps_of_all_lengths(t):
+    return dyadic.overlap_join(*_spans(t)).select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
+@carrier(f"WITH {_SPANS} SELECT o_orderkey FROM o WHERE EXISTS (SELECT 1 FROM l WHERE o_custkey = l_suppkey AND a < d AND c < b)")
+def overlaps_of_all_lengths_semi(t):
+    return dyadic.overlap_join(*_spans(t), how="left_semi").select("o_orderkey")
+
+
+@carrier("""WITH s AS (SELECT c_custkey AS sub_id, c_custkey % 4 AS kind, CASE WHEN c_custkey % 1000 = 7 THEN 1000000 ELSE 45 + c_custkey % 6 END AS party, DATE '1995-01-01' + (c_custkey * 13 % 1000)::INT AS day FROM customer)
+SELECT sub_id, l_orderkey, l_linenumber FROM s JOIN lineitem ON l_quantity >= party AND CASE kind
+  WHEN 0 THEN l_suppkey IN (sub_id, sub_id * 7 % 100 + 1) WHEN 1 THEN l_shipdate::DATE IN (day, day + 40)
+  WHEN 2 THEN l_returnflag = 'R' AND l_shipdate::DATE BETWEEN day AND day + 9 ELSE l_shipdate::DATE BETWEEN day AND day + 2 END""")
+def subscriptions_of_all_kinds(t):
+    """All customers as subscriptions to venues, dates, meals or anything; a few ask for a party of a million."""
+    kind, day = F.col("c_custkey") % 4, F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") * 13 % 1000).cast("int"))
+    listed = lambda n, *values: F.when(kind == n, F.array(*values)).otherwise(F.array())
+    subs = t.customer.select(F.col("c_custkey").alias("sub_id"), F.when(F.col("c_custkey") % 1000 == 7, 1_000_000).otherwise(45 + F.col("c_custkey") % 6).alias("party_size"), listed(0, F.col("c_custkey"), F.col("c_custkey") * 7 % 100 + 1).alias("venues"), listed(2, F.lit("R")).alias("sessions"), listed(1, day, F.date_add(day, 40)).alias("dates"), F.when(kind >= 2, day).alias("date_start"), F.when(kind >= 2, F.date_add(day, F.when(kind == 2, 9).otherwise(2))).alias("date_end"))
+    slots = t.lineitem.select(F.col("l_suppkey").alias("venue_id"), F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("meal"), F.col("l_quantity").alias("seats"), "l_orderkey", "l_linenumber")
+    return ranges.subscription_matches(subs, slots).select("sub_id", "l_orderkey", "l_linenumber")
