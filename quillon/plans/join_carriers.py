@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillon.operators import dyadic, ranges, similar
+from quillon.operators import dyadic, fuzzy, ranges, similar
 from quillon.plans.registry import carrier
 from quillon.sources.shared import shared_dir
 from quillon.streaming import polls
@@ -97,3 +97,16 @@ def subscriptions_of_all_kinds(t):
     subs = t.customer.select(F.col("c_custkey").alias("sub_id"), F.when(F.col("c_custkey") % 1000 == 7, 1_000_000).otherwise(45 + F.col("c_custkey") % 6).alias("party_size"), listed(0, F.col("c_custkey"), F.col("c_custkey") * 7 % 100 + 1).alias("venues"), listed(2, F.lit("R")).alias("sessions"), listed(1, day, F.date_add(day, 40)).alias("dates"), F.when(kind >= 2, day).alias("date_start"), F.when(kind >= 2, F.date_add(day, F.when(kind == 2, 9).otherwise(2))).alias("date_end"))
     slots = t.lineitem.select(F.col("l_suppkey").alias("venue_id"), F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("meal"), F.col("l_quantity").alias("seats"), "l_orderkey", "l_linenumber")
     return ranges.subscription_matches(subs, slots).select("sub_id", "l_orderkey", "l_linenumber")
+
+
+_FUZZY = """WITH q AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM benchmark)),
+v AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS w FROM part)),
+m AS (SELECT word, w FROM q JOIN v ON contains(w, word) OR (length(word) >= 3 AND abs(length(w) - length(word)) <= floor(length(word) * 0.3) AND levenshtein(w, word) <= floor(length(word) * 0.3)))
+SELECT DISTINCT word, p_partkey FROM m JOIN (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS w FROM part) USING (w)"""
+
+
+@carrier(_FUZZY)
+def fuzzy_words(t):
+    """Every word of the benchmark as a search over the names of all parts."""
+    asked = t.benchmark.select(F.explode(fuzzy.search_words("text")).alias("word")).distinct()
+    return fuzzy.fuzzy_search(t.part.select("p_partkey", "p_name"), "p_name", asked, "word").select("word", "p_partkey")
