@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillon.operators import dyadic, fuzzy, ranges, similar
+from quillon.operators import clusters, dyadic, fuzzy, ranges, similar
 from quillon.plans.registry import carrier
+from quillon.plans.table_carriers import _POINTS, _points
+from quillon.sources import framed, sinks
 from quillon.sources.shared import shared_dir
 from quillon.streaming import polls
 
@@ -110,3 +112,27 @@ def fuzzy_words(t):
     """Every word of the benchmark as a search over the names of all parts."""
     asked = t.benchmark.select(F.explode(fuzzy.search_words("text")).alias("word")).distinct()
     return fuzzy.fuzzy_search(t.part.select("p_partkey", "p_name"), "p_name", asked, "word").select("word", "p_partkey")
+
+
+@carrier()
+def radius_clusters(t):
+    """Customers' places on the map at four zooms."""
+    return clusters.radius_clusters(_points(t), "c_custkey", "lat", "lng", (9, 6, 4, 2)).levels.select("zoom", "id", "n_points", "size_class")
+
+
+@carrier(f"WITH {_POINTS} SELECT n_regionkey::VARCHAR AS region, c_custkey, lng, lat FROM p WHERE lng IS NOT NULL")
+def geojson_files(t):
+    """Points of all customers, written as GeoJSON files by region and read back."""
+    where = f"{shared_dir(t.spark)}/geojson-{uuid.uuid4().hex}"
+    framed.write_framed(sinks.geo_features(_points(t), "lat", "lng", "c_custkey", "n_regionkey"), "n_regionkey", "c_custkey", "feature", where, "geojson", 5000)
+    features = F.from_json("text", "features array<struct<geometry: struct<coordinates: array<double>>, properties: struct<c_custkey: long>>>")["features"]
+    at = F.col("x.geometry.coordinates")
+    return framed.read_framed(t.spark, where).select(F.col("group").alias("region"), F.explode(features).alias("x")).select("region", "x.properties.c_custkey", at[0].alias("lng"), at[1].alias("lat"))
+
+
+@carrier(f"WITH {_POINTS} SELECT n_regionkey::VARCHAR AS region, count(*) AS n_placemarks FROM p WHERE lng IS NOT NULL GROUP BY 1")
+def kml_files(t):
+    where = f"{shared_dir(t.spark)}/kml-{uuid.uuid4().hex}"
+    marks = _points(t).filter("lng is not null").withColumn("p", sinks.kml_placemark(F.col("c_custkey").cast("string"), "lat", "lng"))
+    framed.write_framed(marks, "n_regionkey", "c_custkey", "p", where, "kml", 5000)
+    return framed.read_framed(t.spark, where).groupBy(F.col("group").alias("region")).agg(F.sum(F.regexp_count("text", F.lit("<Placemark>"))).cast("long").alias("n_placemarks"))
