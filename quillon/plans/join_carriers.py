@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillon.functions.text import html_escape
 from quillon.operators import clusters, dyadic, fuzzy, ranges, similar
 from quillon.plans.registry import carrier
 from quillon.plans.table_carriers import _POINTS, _points
-from quillon.sources import framed, sinks
+from quillon.sources import framed, landed, sinks
 from quillon.sources.shared import shared_dir
 from quillon.streaming import polls
 
@@ -136,3 +137,28 @@ def kml_files(t):
     marks = _points(t).filter("lng is not null").withColumn("p", sinks.kml_placemark(F.col("c_custkey").cast("string"), "lat", "lng"))
     framed.write_framed(marks, "n_regionkey", "c_custkey", "p", where, "kml", 5000)
     return framed.read_framed(t.spark, where).groupBy(F.col("group").alias("region")).agg(F.sum(F.regexp_count("text", F.lit("<Placemark>"))).cast("long").alias("n_placemarks"))
+
+
+@carrier("SELECT page_id % 3 AS part, url AS loc FROM pages", longs=("part",))
+def sitemap_index(t):
+    """Addresses of all pages, landed as sitemaps with an index and read back through it, a partition a sitemap."""
+    where = f"{shared_dir(t.spark)}/sitemaps-{uuid.uuid4().hex}"
+    entry = lambda tag, loc: F.concat(F.lit(f"<{tag}><loc>"), loc, F.lit(f"</loc></{tag}>"))
+    framed.write_framed(t.pages.select((F.col("page_id") % 3).alias("part"), "page_id", entry("url", html_escape("url")).alias("body")), "part", "page_id", "body", f"{where}/maps", "sitemap", 50_000)
+    index = framed.read_index(f"{where}/maps")
+    files = t.spark.createDataFrame([(g, p["file"]) for g, parts in index.items() for p in parts], "part string, file string")
+    framed.write_framed(files.select(F.lit("all").alias("g"), "file", entry("sitemap", F.concat(F.lit("https://example.org/maps/"), "file")).alias("body")), "g", "file", "body", f"{where}/index", "sitemapindex")
+    (start,) = framed.read_index(f"{where}/index")["all"]
+    read = landed.read_sitemaps(t.spark, f"{where}/index/{start['file']}", where)
+    return read.withColumn("file", F.element_at(F.split("sitemap", "/"), -1)).join(files, "file").select(F.col("part").cast("long").alias("part"), "loc")
+
+
+@carrier("SELECT c_nationkey::VARCHAR AS area, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 50 + 1 AS page, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) % 50 AS position, c_custkey FROM customer", longs=("page", "position"))
+def paged_listing(t):
+    """Customers as landed pages of 50 by nation, read back by the pages that each first page promises."""
+    where = f"{shared_dir(t.spark)}/listing-{uuid.uuid4().hex}"
+    rows = t.customer.select(F.col("c_nationkey").alias("area"), "c_custkey", F.expr("row_number() over (partition by c_nationkey order by c_custkey) - 1").alias("n"), F.expr("count(*) over (partition by c_nationkey)").alias("of"))
+    page = F.struct(F.struct(F.ceil(F.col("of") / 50).cast("int").alias("totalPages")).alias("metadata"), "collection")
+    pages = rows.groupBy("area", (F.floor(F.col("n") / 50) + 1).alias("page"), "of").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "c_custkey"))), lambda x: F.struct(x["c_custkey"].alias("id"))).alias("collection"))
+    pages.select("area", "page", F.to_json(page).alias("value")).repartition("area", "page").write.partitionBy("area", "page").text(where)
+    return landed.read_listing(t.spark, where).select("area", "page", "position", F.get_json_object("record", "$.id").cast("long").alias("c_custkey"))

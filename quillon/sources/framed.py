@@ -1,4 +1,4 @@
-"""Documents of many parts as a Spark data source: GeoJSON and KML files of any size, written by tasks, named at commit."""
+"""Documents of many parts as a Spark data source: GeoJSON, KML and sitemap files of any size, written by tasks, named at commit."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ from quillon.sources.shared import qualified
 FRAMES = {
     "geojson": ('{"type":"FeatureCollection","features":[', ",\n", "]}", ".geojson"),
     "kml": ('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{title}</name>\n', "\n", "\n</Document></kml>\n", ".kml"),
+    "sitemap": ('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n', "\n", "\n</urlset>\n", ".xml"),
+    "sitemapindex": ('<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n', "\n", "\n</sitemapindex>\n", ".xml"),
 }
 #: Bodies of a file; a group with more has several files, each a document of its own.
 ROWS = 100_000
