@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillon.functions.text import html_escape
-from quillon.operators import clusters, dyadic, fuzzy, ranges, similar
+from quillon.operators import clusters, dyadic, fuzzy, hashtree, ranges, similar
 from quillon.plans.registry import carrier
-from quillon.plans.table_carriers import _POINTS, _points
+from quillon.plans.table_carriers import _POINTS, _points, _versions
 from quillon.sources import framed, landed, sinks
 from quillon.sources.shared import shared_dir
-from quillon.streaming import polls
+from quillon.streaming import outbox, polls
 
 
 def _named_parts(t):
@@ -162,3 +162,35 @@ def paged_listing(t):
     pages = rows.groupBy("area", (F.floor(F.col("n") / 50) + 1).alias("page"), "of").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "c_custkey"))), lambda x: F.struct(x["c_custkey"].alias("id"))).alias("collection"))
     pages.select("area", "page", F.to_json(page).alias("value")).repartition("area", "page").write.partitionBy("area", "page").text(where)
     return landed.read_listing(t.spark, where).select("area", "page", "position", F.get_json_object("record", "$.id").cast("long").alias("c_custkey"))
+
+
+@carrier("SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 'added' WHEN '1-URGENT' THEN 'removed' ELSE 'changed' END AS change_type FROM orders WHERE o_orderpriority IN ('5-LOW', '1-URGENT', '2-HIGH')")
+def tree_diff(t):
+    """The two versions of the orders as written snapshots, compared by their trees."""
+    where = f"{shared_dir(t.spark)}/snapshots-{uuid.uuid4().hex}"
+    for name, df in zip(("old", "new"), _versions(t)):
+        hashtree.write_snapshot(df, ["o_orderkey"], f"{where}/{name}", depth=6)
+    return hashtree.tree_diff(t.spark, f"{where}/old", f"{where}/new", ["o_orderkey"])
+
+
+@carrier("SELECT 'c' || c_custkey AS message_id, CASE WHEN c_acctbal > 5000 THEN 0 ELSE 1 END AS batch FROM customer WHERE c_acctbal > 0", longs=("batch",))
+def outbox_deliveries(t):
+    """Messages to customers in two batches with rows in common; the first is sent and not confirmed when it stops."""
+    where = f"{shared_dir(t.spark)}/outbox-{uuid.uuid4().hex}"
+    messages = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("message_id"), "c_acctbal")
+
+    def send(df, n):
+        df.write.mode("overwrite").parquet(f"{where}/sent/batch={n}")
+
+    def stop(name):
+        if name == "after send":
+            raise InterruptedError(name)
+
+    try:
+        outbox.Outbox(t.spark, f"{where}/box", stop).deliver(messages.filter("c_acctbal > 5000"), 0, send)
+    except InterruptedError:
+        pass
+    box = outbox.Outbox(t.spark, f"{where}/box")
+    box.deliver(messages.filter("c_acctbal > 0"), 1, send)
+    box.compact()
+    return t.spark.read.parquet(f"{where}/sent").select("message_id", F.col("batch").cast("int").alias("batch"))
