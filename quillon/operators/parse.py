@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.batch import batch_udf
 from quillon.functions.text import _c, compact_space, is_booking_url, match_text
+from quillon.sources.shared import discard, materialize
 
 SIGNALS = "title string, description string, keywords string, headings array<string>, paragraphs array<string>, jsonld array<string>"
 
@@ -288,13 +289,31 @@ def result_blocks(pages: pd.Series) -> pd.Series:
     return pages.map(one)
 
 
-def follow_moves(moves: DataFrame, source: str, target: str, steps: int = 8) -> DataFrame:
-    """(source, target): where each moved link ends, by bounded pointer doubling; cycles keep where they were cut."""
-    now = moves.select(F.col(source).alias("s"), F.col(target).alias("t"))
-    for _ in range(max(1, steps.bit_length())):
-        nxt = now.select(F.col("s").alias("s2"), F.col("t").alias("t2"))
-        now = now.join(nxt, F.col("t") == F.col("s2"), "left").select("s", F.when(F.col("t2").isNotNull() & (F.col("t2") != F.col("s")), F.col("t2")).otherwise(F.col("t")).alias("t"))
-    return now.select(F.col("s").alias(source), F.col("t").alias(target))
+def follow_moves(moves: DataFrame, source: str, target: str) -> DataFrame:
+    """(source, target, cyclic): where each moved link ends, however many moves away that is.
+
+    Pointers are doubled, and the smallest link on the way is kept, in rounds written to the shared folder; a chain of n
+    moves takes about log2(n). Links that lead into a cycle end at its smallest link, and cyclic is true. Of several
+    targets of a source the smallest counts; null sources and targets are no moves.
+    """
+    moved = moves.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s is not null and t is not null").groupBy("s").agg(F.min("t").alias("t"))
+    sources = moved.select(F.col("s").alias("k"))
+    now = materialize(moved.join(sources, F.col("t") == F.col("k"), "left").select("s", "t", F.col("s").alias("low"), F.col("k").isNotNull().alias("open")), "moves")
+    steps, bound = 1, None
+    while True:
+        left = now.filter("open").count()
+        # a chain that isn't at its end has at most `left` links with the end more than `steps` away
+        bound = steps + left if bound is None else min(bound, steps + left)
+        if not left or steps >= bound:
+            break
+        ahead = now.select(F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
+        further = now.filter("open").join(ahead, F.col("t") == F.col("s2")).select("s", F.col("t2").alias("t"), F.least("low", "low2").alias("low"), F.col("open2").alias("open"))
+        last, now = now, materialize(now.filter("not open").unionAll(further), "moves")
+        discard(last)
+        steps *= 2
+    lows = now.filter("open").select(F.col("s").alias("s2"), F.col("low").alias("low2"))
+    out = now.join(lows, F.col("open") & (F.col("t") == F.col("s2")), "left")
+    return out.select(F.col("s").alias(source), F.when(F.col("open"), F.col("low2")).otherwise(F.col("t")).alias(target), F.col("open").alias("cyclic"))
 
 
 def localized(json_column, field: str, locale: str = "en") -> Column:

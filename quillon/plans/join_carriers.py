@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillon.functions.text import html_escape
-from quillon.operators import clusters, dyadic, fuzzy, hashtree, ranges, similar
+from quillon.operators import clusters, dictionary, dyadic, fuzzy, hashtree, parse, ranges, similar
 from quillon.plans.registry import carrier
 from quillon.plans.table_carriers import _POINTS, _points, _versions
 from quillon.sources import framed, landed, sinks
@@ -194,3 +194,22 @@ def outbox_deliveries(t):
     box.deliver(messages.filter("c_acctbal > 0"), 1, send)
     box.compact()
     return t.spark.read.parquet(f"{where}/sent").select("message_id", F.col("batch").cast("int").alias("batch"))
+
+
+@carrier("""WITH a AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE w <> '')
+SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents) JOIN a USING (w) GROUP BY doc_id""")
+def dictionary_documents(t):
+    """Aliases (all words of the benchmark) found in all documents, by one automaton."""
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("alias")).distinct()
+    found = dictionary.dictionary_matches(t.documents.select("doc_id", "text"), "text", words.withColumn("value", F.col("alias")))
+    return found.select("doc_id", F.size(dictionary.values_of("matches")).cast("long").alias("n")).filter("n > 0")
+
+
+@carrier("WITH b AS (SELECT p_partkey AS p, (p_partkey - 1) // 50 AS block, max(p_partkey) OVER () AS last FROM part) SELECT p, CASE WHEN block % 2 = 1 AND block * 50 + 50 <= last THEN block * 50 + 1 ELSE least(block * 50 + 50, last) END AS t, block % 2 = 1 AND block * 50 + 50 <= last AS cyclic FROM b WHERE p < last AND p % 50 <> 0 OR p % 50 = 0 AND block % 2 = 1")
+def moved_links(t):
+    """Parts as links to the next one, in chains of 50 and cycles of 50."""
+    p = F.col("p_partkey")
+    to = F.when(p % 50 != 0, p + 1).when(F.floor((p - 1) / 50) % 2 == 1, p - 49)
+    there = t.part.select(p.alias("k"))
+    moves = t.part.select(p.alias("p"), to.alias("t")).filter("t is not null").join(there, F.col("t") == F.col("k"), "left_semi")
+    return parse.follow_moves(moves, "p", "t")
