@@ -72,81 +72,45 @@ def availability_status(t):
     return status.join(flat, "l_orderkey", "left").select("l_orderkey", slots.availability_key("status", F.coalesce("n", F.lit(0)), F.lit(False)).alias("availability"))
 
 
-@carrier("SELECT s_suppkey, CASE WHEN bool_or(l_shipdate::DATE < DATE '1997-03-10' AND DATE '1997-03-01' < l_shipdate::DATE + 4) THEN 'blocked' WHEN count(l_shipdate) = 0 THEN 'subject_to_availability' ELSE 'not_blocked' END AS status FROM supplier LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity >= 49) ON l_suppkey = s_suppkey GROUP BY 1")
+@carrier("SELECT s_suppkey, CASE WHEN bool_or(l_shipdate::DATE < DATE '1997-03-10' AND DATE '1997-03-01' < l_shipdate::DATE + 4) THEN 'blocked' WHEN count(l_shipdate) = 0 THEN 'subject_to_availability' ELSE 'not_blocked' END AS status FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
 def stay_window(t):
-    return _stay_window(t, t.lineitem.filter("l_quantity >= 49"))
-
-
-def _stay_window(t: Tables, lines):
-    r = lines.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.to_date("l_shipdate").alias("start"), F.date_add(F.to_date("l_shipdate"), 3).alias("end"), F.col("l_orderkey").cast("string").alias("label"), F.lit(False).alias("tentative"))).alias("ranges"))
+    r = t.lineitem.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.to_date("l_shipdate").alias("start"), F.date_add(F.to_date("l_shipdate"), 3).alias("end"), F.col("l_orderkey").cast("string").alias("label"), F.lit(False).alias("tentative"))).alias("ranges"))
     day = lambda d: F.lit(d).cast("date")
     rows = t.supplier.join(r, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     return rows.select("s_suppkey", ranges.stay_status("ranges", F.array().cast("array<string>"), F.lit(""), day("1997-03-01"), day("1997-03-10"))["key"].alias("status"))
 
 
 def _windows(t: Tables):
-    w = t.orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.to_date("o_orderdate").alias("w_start"), F.date_add("o_orderdate", 2).alias("w_end"))
-    x = t.lineitem.filter("l_quantity >= 50 and l_discount = 0.1").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("r_start"), F.date_add("l_shipdate", 4).alias("r_end"))
+    """Windows of all orders at each of their suppliers, and ranges of all lines: the supplier bounds the pairs."""
+    sold = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("w_supp")).distinct()
+    w = t.orders.join(sold, F.col("o_orderkey") == F.col("k")).select("o_orderkey", "w_supp", F.to_date("o_orderdate").alias("w_start"), F.date_add("o_orderdate", 2).alias("w_end"))
+    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.to_date("l_shipdate").alias("r_start"), F.date_add("l_shipdate", 4).alias("r_end"))
     return w, x
 
 
-_WINDOWS = "FROM orders JOIN lineitem ON o_orderdate::DATE < l_shipdate::DATE + 4 AND l_shipdate::DATE < o_orderdate::DATE + 2 WHERE o_orderpriority = '1-URGENT' AND l_quantity >= 50 AND l_discount = 0.1"
+_WINDOWS = "FROM (SELECT DISTINCT o_orderkey, o_orderdate::DATE AS a, l_suppkey AS w_supp FROM orders JOIN lineitem ON l_orderkey = o_orderkey) w JOIN lineitem x ON x.l_suppkey = w_supp AND a < x.l_shipdate::DATE + 4 AND x.l_shipdate::DATE < a + 2"
 
 
-@carrier(f"SELECT o_orderkey, l_orderkey, l_linenumber {_WINDOWS}")
+@carrier(f"SELECT o_orderkey, w_supp, x.l_orderkey, x.l_linenumber {_WINDOWS}")
 def range_join_pairs(t):
     w, x = _windows(t)
-    return ranges.range_join(w, x, ("w_start", "w_end"), ("r_start", "r_end"), 16).select("o_orderkey", "l_orderkey", "l_linenumber")
+    return ranges.range_join(w, x, ("w_start", "w_end"), ("r_start", "r_end"), 16, ("w_supp", "l_suppkey")).select("o_orderkey", "w_supp", "l_orderkey", "l_linenumber")
 
 
 @carrier(f"SELECT DISTINCT o_orderkey {_WINDOWS}")
 def range_join_semi(t):
     w, x = _windows(t)
-    return ranges.range_join(w, x, ("w_start", "w_end"), ("r_start", "r_end"), 16, how="left_semi").select("o_orderkey")
+    return ranges.range_join(w, x, ("w_start", "w_end"), ("r_start", "r_end"), 16, ("w_supp", "l_suppkey"), how="left_semi").select("o_orderkey").distinct()
 
 
-@carrier("SELECT c_custkey AS sub_id, s_suppkey, l_orderkey, l_linenumber FROM customer JOIN (supplier JOIN lineitem ON l_suppkey = s_suppkey) ON s_nationkey = c_nationkey WHERE l_linenumber = 1 AND l_quantity >= c_custkey % 40 + 10 AND l_shipdate::DATE BETWEEN DATE '1997-01-01' + (c_custkey % 30)::INT AND DATE '1997-02-01'")
+@carrier("SELECT c_custkey AS sub_id, s_suppkey, l_orderkey, l_linenumber FROM customer JOIN (supplier JOIN lineitem ON l_suppkey = s_suppkey) ON s_nationkey = c_nationkey WHERE l_quantity >= c_custkey % 40 + 10 AND l_shipdate::DATE BETWEEN DATE '1997-01-01' + (c_custkey % 30)::INT AND DATE '1997-02-01'")
 def subscription_slots(t):
-    return _subscription_slots(t, t.lineitem.filter("l_linenumber = 1"))
-
-
-def _subscription_slots(t: Tables, lines):
     start = F.date_add(F.lit("1997-01-01").cast("date"), (F.col("c_custkey") % 30).cast("int"))
     subs = t.customer.select(F.col("c_custkey").alias("sub_id"), (F.col("c_custkey") % 40 + 10).alias("party_size"), F.array(F.col("c_nationkey")).alias("venues"), F.array().cast("array<string>").alias("sessions"), F.array().cast("array<date>").alias("dates"), start.alias("date_start"), F.lit("1997-02-01").cast("date").alias("date_end"))
-    offered = t.supplier.join(lines, F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", F.col("s_nationkey").alias("venue_id"), F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("meal"), F.col("l_quantity").alias("seats"), "l_orderkey", "l_linenumber")
+    offered = t.supplier.join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", F.col("s_nationkey").alias("venue_id"), F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("meal"), F.col("l_quantity").alias("seats"), "l_orderkey", "l_linenumber")
     return ranges.subscription_matches(subs, offered).select("sub_id", "s_suppkey", "l_orderkey", "l_linenumber")
 
 
-def _whole_windows(t: Tables):
-    """Windows of all orders at each of their suppliers, and ranges of all lines: the supplier bounds the pairs."""
-    sold = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("w_supp")).distinct()
-    w = t.orders.join(sold, F.col("o_orderkey") == F.col("k")).select("o_orderkey", "w_supp", F.to_date("o_orderdate").alias("w_start"), F.date_add("o_orderdate", 2).alias("w_end"))
-    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.to_date("l_shipdate").alias("r_start"), F.date_add("l_shipdate", 4).alias("r_end"))
-    return w, x
-
-
-@carrier()
-def range_join_pairs_whole(t):
-    w, x = _whole_windows(t)
-    return ranges.range_join(w, x, ("w_start", "w_end"), ("r_start", "r_end"), 16, ("w_supp", "l_suppkey")).select("o_orderkey", "w_supp", "l_orderkey", "l_linenumber")
-
-
-@carrier()
-def range_join_semi_whole(t):
-    w, x = _whole_windows(t)
-    return ranges.range_join(w, x, ("w_start", "w_end"), ("r_start", "r_end"), 16, ("w_supp", "l_suppkey"), how="left_semi").select("o_orderkey").distinct()
-
-
-@carrier()
-def subscription_slots_whole(t):
-    return _subscription_slots(t, t.lineitem)
-
-
-@carrier()
-def stay_window_whole(t):
-    return _stay_window(t, t.lineitem)
-
-
 def _points(t: Tables):
     return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey", (F.col("c_custkey") * 37 % 181 - 90).cast("double").alias("lat"), F.when(F.col("c_acctbal") > -500, (F.col("c_custkey") * 97 % 361 - 180).cast("double")).alias("lng"))
 

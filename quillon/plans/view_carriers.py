@@ -12,24 +12,24 @@ from quillon.streaming import alerts, latest
 
 
 def _stays(t):
-    r = t.lineitem.filter("l_quantity >= 49").groupBy("l_suppkey").agg(F.collect_list(F.struct(F.to_date("l_shipdate").alias("start"), F.date_add(F.to_date("l_shipdate"), 3).alias("end"), F.col("l_orderkey").cast("string").alias("label"), F.lit(False).alias("tentative"))).alias("blackout_exact_ranges"))
+    r = t.lineitem.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.to_date("l_shipdate").alias("start"), F.date_add(F.to_date("l_shipdate"), 3).alias("end"), F.col("l_orderkey").cast("string").alias("label"), F.lit(False).alias("tentative"))).alias("blackout_exact_ranges"))
     s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("n_regionkey").cast("string").alias("country"), F.col("n_name").alias("city"), F.lower("s_name").alias("search_text"), "blackout_exact_ranges", F.array().cast("array<string>").alias("blackout_notes"), F.lit("").alias("blackout_raw"))
 
 
-_BLOCKED = "b AS (SELECT s_suppkey AS id, s_name AS name, n_name AS city, n_regionkey, s_acctbal, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 49 AND l_shipdate::DATE < DATE '1997-03-10' AND DATE '1997-03-01' < l_shipdate::DATE + 4) AS blocked FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
+_BLOCKED = "b AS (SELECT s_suppkey AS id, s_name AS name, n_name AS city, n_regionkey, s_acctbal, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_shipdate::DATE < DATE '1997-03-02' AND DATE '1997-03-01' < l_shipdate::DATE + 4) AS blocked FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
 
 
 @carrier(f"WITH {_BLOCKED} SELECT id, city FROM b WHERE n_regionkey = 1 AND NOT blocked AND s_acctbal >= 500")
 def stay_view(t):
     ratings = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("rating"), F.lit(1).alias("review_count"))
-    q = views.StayQuery(country="1", start="1997-03-01", end="1997-03-10", min_rating=500.0)
+    q = views.StayQuery(country="1", start="1997-03-01", end="1997-03-02", min_rating=500.0)
     return q.build(_stays(t), ratings).select("id", "city")
 
 
 @carrier(f"WITH {_BLOCKED} SELECT count(*) AS n_rows, count(*) FILTER (blocked) AS n_blocked, count(DISTINCT city) AS n_cities, count(DISTINCT n_regionkey) AS n_countries FROM b")
 def stay_counts(t):
-    return views.StayQuery.counts(views.StayQuery(start="1997-03-01", end="1997-03-10", hide_blocked=False).build(_stays(t)))
+    return views.StayQuery.counts(views.StayQuery(start="1997-03-01", end="1997-03-02", hide_blocked=False).build(_stays(t)))
 
 
 @carrier("SELECT p_partkey AS id, CASE WHEN p_size > 45 THEN 'unavailable' WHEN p_size < 5 THEN 'twenty' ELSE 'fifty' END AS savings, CASE WHEN p_size > 45 THEN 'special' WHEN contains(p_name, 'ring') THEN 'buffet' WHEN p_type = 'PROMO' THEN 'one_per_diner' ELSE 'two_mains' END AS order_rule, CASE WHEN p_size > 45 OR p_size < 5 THEN 'special' WHEN contains(p_name, 'ring') THEN 'buffet' WHEN p_type = 'PROMO' THEN 'hotel_food' ELSE 'ala_carte' END AS applies_to, CASE WHEN p_brand = 'Brand#1' THEN 'bundled' WHEN p_retailprice > 905 THEN 'mapped' ELSE 'unmapped' END AS location FROM part")

@@ -178,11 +178,11 @@ def test_whole_table_ranges_against_brute_force(spark, tmp_path):
     day = dt.timedelta(days=1)
     windows = {(o, d, x[2]) for o, d in orders for x in lines if x[0] == o}
     pairs = sorted((o, s, x[0], x[1]) for o, d, s in windows for x in lines if x[2] == s and d < x[4] + 4 * day and x[4] < d + 2 * day)
-    assert pairs and run("range_join_pairs_whole") == pairs
-    assert run("range_join_semi_whole") == sorted({(p[0],) for p in pairs})
+    assert pairs and run("range_join_pairs") == pairs
+    assert run("range_join_semi") == sorted({(p[0],) for p in pairs})
     nation = dict(suppliers)
     want = sorted((c, x[2], x[0], x[1]) for c, k in subs for x in lines if nation[x[2]] == k and x[3] >= c % 40 + 10 and at(c % 30) <= x[4] <= dt.datetime(1997, 2, 1))
-    assert want and run("subscription_slots_whole") == want
+    assert want and run("subscription_slots") == want
     stays = {s: [x for x in lines if x[2] == s] for s in nation}
     hit = lambda x: x[4] < dt.datetime(1997, 3, 10) and dt.datetime(1997, 3, 1) < x[4] + 4 * day
-    assert run("stay_window_whole") == sorted((s, "blocked" if any(map(hit, v)) else "not_blocked" if v else "subject_to_availability") for s, v in stays.items())
+    assert run("stay_window") == sorted((s, "blocked" if any(map(hit, v)) else "not_blocked" if v else "subject_to_availability") for s, v in stays.items())
