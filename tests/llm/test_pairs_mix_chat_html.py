@@ -258,15 +258,35 @@ def test_short_articles_under_a_long_menu(spark):
     assert got[24] == f"{text}\n{text} Twice.\nViews of this: 5" and got[25] == "Something else."
 
 
-def test_repeated_notices_inside_articles_go(spark):
+def test_lines_of_articles_stay(spark):
+    """Neighbours that have an article's first and last lines, as partial copies do, take nothing away from it."""
     quote = "A passage that two neighbours quote."
-    body = [f"<p>First of {w}.<p>{quote}<p>Second of {w}." if i < 2 else f"<p>First of {w}.<p>Second of {w}.<p>Third of {w}." for i, w in enumerate(("hills", "boats", "lamps"))]
-    rows = [(i, f"http://art.example/{i}", f"<article><h1>Title {w}</h1><p>Share this story{b}<p>More from our desk</article>") for i, (b, w) in enumerate(zip(body, ("one", "two", "three")))]
-    rows += [(9, "http://pair.example/1", "<main><p>Same line<p>own one</main>"), (10, "http://pair.example/2", "<main><p>Same line<p>own two</main>")]
+    body = [f"<p>First of {w}.<p>{quote}<p>Second of {w}." for w in ("hills", "boats", "lamps")]
+    rows = [(i, f"http://art.example/{i}", f"<article><h1>One title</h1>{b}<div class='share-bar'>Share this story</div><p>The same end</article>") for i, b in enumerate(body)]
     got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[0] == f"Title one\nFirst of hills.\n{quote}\nSecond of hills." and got[1] == f"Title two\nFirst of boats.\n{quote}\nSecond of boats."
-    assert got[2] == "Title three\nFirst of lamps.\nSecond of lamps.\nThird of lamps."
-    assert got[9] == "Same line\nown one" and got[10] == "Same line\nown two"  # one page is no evidence
+    assert got == {i: f"One title\nFirst of {w}.\n{quote}\nSecond of {w}.\nThe same end" for i, w in enumerate(("hills", "boats", "lamps"))}
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
+    rng = random.Random(12)
+    for _ in range(400):
+        a, b = ([rng.randrange(rng.choice([2, 5, 30])) for _ in range(rng.randrange(0, 30))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(zip(b, row, row[1:]), lambda left, y: y[1] + 1 if y[0] == x else max(left, y[2]), initial=0)][1:]
+        mask = html_text.shared_lines(np.array(a, np.uint64), np.array(b, np.uint64))
+        kept, at = [x for x, m in zip(a, mask) if m], 0
+        assert len(kept) == max(row)
+        for x in kept:  # and b has them in this order
+            at = b.index(x, at) + 1
+
+
+def test_thousands_of_equal_lines_take_no_time():
+    two = np.array([1, 2], np.uint64)
+    a, b = two[np.random.default_rng(1).integers(0, 2, 16_000)], two[np.random.default_rng(2).integers(0, 2, 16_000)]
+    began = time.monotonic()
+    assert html_text.shared_lines(a, b).sum() > 12_000
+    assert time.monotonic() - began < 3
 
 
 def test_nearest_page_of_a_deep_path(spark):
