@@ -16,7 +16,8 @@ from quillon.llm.textwork import WordHashes, space_words, utf8, windows
 #: language compresses better the longer it is, so each length has its own limits; they leave about 0.1 beyond
 #: what the rows labelled good show.
 BANDS = ((128, 0.5, 1.45), (256, 0.9, 2.1), (512, 1.2, 2.05), (1024, 1.3, 2.1), (2048, 1.5, 2.25), (4096, 1.65, 2.32), (8192, 1.8, 2.45), (16384, 2.0, 2.52), (65536, 2.1, 2.68), (float("inf"), 2.1, 2.85))
-#: Whole chunks of so many bytes, their band, and the largest share of chunks allowed outside it.
+#: Chunks of so many bytes (the last one ends with the text and may overlap the one before), their band, and the largest
+#: share of chunks allowed outside it. A text of less than a chunk has the band of its whole.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 1024, (1.3, 2.25), 0.1
 LEVEL = 3
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -25,14 +26,16 @@ _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 
 
 def band_verdict(raw: bytes, compress, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, chunk_share: float = CHUNK_SHARE) -> tuple[float, float, bool]:
-    """(ratio of the whole, share of whole chunks outside the chunk band, kept). Empty: (0, 0, False)."""
+    """(ratio of the whole, share of chunks outside the chunk band, kept). Empty: (0, 0, False)."""
     if not raw:
         return 0.0, 0.0, False
     ratio = len(raw) / len(compress(raw))
     low, high = next((lo, hi) for size, lo, hi in bands if len(raw) <= size)
-    n = len(raw) // chunk
-    outside = sum(not chunk_band[0] <= chunk / len(compress(raw[i * chunk : (i + 1) * chunk])) <= chunk_band[1] for i in range(n))
-    share = outside / n if n else 0.0
+    ends = [*range(chunk, len(raw) + 1, chunk)]
+    if ends and ends[-1] < len(raw):
+        ends.append(len(raw))
+    outside = sum(not chunk_band[0] <= chunk / len(compress(raw[end - chunk : end])) <= chunk_band[1] for end in ends)
+    share = outside / len(ends) if ends else 0.0
     return ratio, share, low <= ratio <= high and share <= chunk_share
 
 
@@ -65,7 +68,7 @@ def dup_lines(raw: bytes) -> int:
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, chunk_share: float = CHUNK_SHARE, level: int = LEVEL) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, ratio, odd_chunks (the share of whole chunks outside their band).
+    kept, ratio, odd_chunks (the share of chunks outside their band).
 
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows. kept: not base_failed and
     the compression bands hold. Null and empty texts have zeros and fail; null ids stay; repeated rows are judged

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -73,12 +74,23 @@ def brute_quality(text):
         c = zstandard.ZstdCompressor(level=3)
         ratio = len(raw) / len(c.compress(raw))
         low, high = next((a, b) for n, a, b in quality.BANDS if len(raw) <= n)
-        full = [raw[i : i + 1024] for i in range(0, len(raw) - 1023, 1024)]
+        full = [raw[i : i + 1024] for i in range(0, len(raw) - 1023, 1024)] + ([raw[-1024:]] if len(raw) > 1024 and len(raw) % 1024 else [])
         odd = sum(not 1.3 <= 1024 / len(c.compress(x)) <= 2.25 for x in full)
         good = low <= ratio <= high and odd <= 0.1 * len(full)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), failed, good and not failed
 
 
+def test_a_bad_tail_is_seen():
+    """Repeated or random bytes after the last whole chunk are part of the last chunk."""
+    rng = random.Random(3)
+    good = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(700))[: 4 * 1024].encode()
+    compress = zstandard.ZstdCompressor(level=3).compress
+    bands = ((float("inf"), 0.5, 5.0),)
+    assert quality.band_verdict(good, compress, bands)[1:] == (0.0, True)
+    for tail in (b"ab " * 300, bytes(rng.randrange(33, 256) for _ in range(900))):
+        assert quality.band_verdict(good + tail, compress, bands)[1:] == (0.2, False)
+
+
 def test_quality_against_brute_force(spark):
     docs = clashing(awkward(spark)).unionByName(clashing(spark.createDataFrame([(20, "a b c\n" * 30 + "x\n\nx\na b c", "", "", 0), (21, "spam " * 500, "", "", 0), (22, PROSE + " # * $", "", "", 0)], "doc_id long, text string, lang string, source string, n_chars long")))
     got = sorted(map(str, (tuple(r)[:8] for r in quality.judge_quality(docs).collect())))
