@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import explorer_carriers, join_carriers, match_carriers, table_carriers, view_carriers  # noqa: F401  (they register themselves)
+from quillon.plans import explorer_carriers, join_carriers, match_carriers, rule_carriers, table_carriers, view_carriers  # noqa: F401  (they register themselves)
 from quillon.plans.registry import QUERIES, SQL
 
 
