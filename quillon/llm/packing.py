@@ -89,4 +89,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str =
         if held:
             yield pack()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run, keeps_words=True), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

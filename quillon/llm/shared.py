@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +43,14 @@ def release() -> None:
         pass
 
 
-def tidy(run):
-    """Batch function that releases its memory when its task ends."""
+def tidy(run, keeps_words: bool = False):
+    """Batch function that releases its memory when its task ends. Workers serve tasks of several operators: those that
+    don't tokenize drop the ids of words that earlier tasks have left (keeps_words: those that do, keep them)."""
     def call(batches):
         try:
+            tokens = sys.modules.get("quillon.llm.tokens")
+            if tokens and not keeps_words:
+                tokens.forget()
             yield from run(batches)
         finally:
             release()

@@ -26,4 +26,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             n = [count.text(t) for t in texts]
             yield batch(schema, [b.column(0), [len(utf8(t)) for t in texts], n, [x > limit for x in n]])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(run, keeps_words=True), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

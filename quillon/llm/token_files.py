@@ -163,7 +163,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
                 x.close()
             yield batch(schema, [[part], [f"{path.rstrip('/')}/{name}"], [n_docs], [start]])
 
-    made = dealt.mapInArrow(tidy(run), "part int, path string, n_docs long, n_tokens long").collect()  # a row per file
+    made = dealt.mapInArrow(tidy(run, keeps_words=True), "part int, path string, n_docs long, n_tokens long").collect()  # a row per file
     table, before = [], 0
     for r in sorted(made, key=lambda r: r.part):
         table.append((r.part, r.path, r.n_docs, r.n_tokens, before))

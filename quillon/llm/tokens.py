@@ -196,3 +196,9 @@ class MergeCounter(dict):
 def merge_counter(path: str) -> MergeCounter:
     """The worker's MergeCounter; what it remembers serves its later tasks too."""
     return MergeCounter(path)
+
+
+def forget() -> None:
+    """Drop what this worker's tokenizers remember, and the tokenizers."""
+    for kept in (chunk_ids, merge_counter, library, specification, word_ends):
+        kept.cache_clear()

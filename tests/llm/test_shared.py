@@ -45,3 +45,14 @@ def test_tidy_passes_batches_and_releases():
     run = shared.tidy(lambda batches: (b * 2 for b in batches))
     seen = list(run([1, 2]))
     assert seen == [2, 4]
+
+
+def test_tasks_that_do_not_tokenize_drop_remembered_words():
+    from quillon.llm import shared, tokens
+    from quillon.llm.queries import vocabulary
+
+    kept = tokens.chunk_ids(vocabulary())
+    list(shared.tidy(lambda batches: batches, keeps_words=True)([]))
+    assert tokens.chunk_ids(vocabulary()) is kept
+    list(shared.tidy(lambda batches: batches)([]))
+    assert tokens.chunk_ids(vocabulary()) is not kept
