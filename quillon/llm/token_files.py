@@ -195,7 +195,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         yield batch(schema, [rows.column(0), [base + a for a in at], n, crc])
 
     files = max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return manifest.select("path", "start").repartition(files).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start").repartition(files).mapInArrow(tidy(run, keeps_words=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark: SparkSession) -> str:
