@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import shorten_address, similarity
+from quillon.operators.match import expand_pairs
 from quillon.sources.shared import discard, materialize
 
 _START, _END = "\u0002", "\u0003"
@@ -27,21 +28,29 @@ _START, _END = "\u0002", "\u0003"
 
 @dataclass(frozen=True)
 class Similar:
-    """pairs: columns of both sides, common (words) and ratio; candidates: (left_row, right_row, words, part, near), the
-    ways in which a pair was proposed; blocks: rows of both sides by block."""
+    """Rows of one side with equal block and text are a class; ways, words and ratios are found once for two classes.
+
+    pairs: columns of both sides, common (words) and ratio, of all rows; links: (left_class, right_class, n, common,
+    ratio), the same pairs as pairs of classes, n of rows each; left, right: the rows with their class_; candidates:
+    (left_row, right_row: classes, n, words, part, near), the ways in which a pair was proposed; blocks: rows of both
+    sides by block."""
 
     pairs: DataFrame
+    links: DataFrame
+    left: DataFrame
+    right: DataFrame
     candidates: DataFrame
     blocks: DataFrame
 
     def report(self) -> DataFrame:
-        """One row: possible (pairs that agree on the block), candidates, verified (those whose ratio was computed
-        because nothing else had decided them) and matched."""
-        one = lambda df, name, c=F.count("*"): df.agg(c.cast("long").alias(name))
-        possible = one(self.blocks, "possible", F.coalesce(F.sum(F.col("l").cast("decimal(38,0)") * F.col("r")), F.lit(0)))
-        decided = self.candidates.agg(F.count("*").alias("candidates"), F.coalesce(F.sum((~F.col("words") & ~F.col("part")).cast("long")), F.lit(0)).alias("verified"))
+        """One row: possible (pairs of rows that agree on the block), candidates, verified (those that only their ratio
+        could decide) and matched, all in pairs of rows."""
+        one = lambda df, name, c: df.agg(F.coalesce(c, F.lit(0)).cast("long").alias(name))
+        possible = one(self.blocks, "possible", F.sum(F.col("l").cast("decimal(38,0)") * F.col("r")))
+        undecided = F.when(~F.col("words") & ~F.col("part"), F.col("n")).otherwise(0)
+        decided = self.candidates.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"), F.coalesce(F.sum(undecided), F.lit(0)).alias("verified"))
         out = possible.withColumn("one_", F.lit(1))
-        for x in (decided, one(self.pairs, "matched")):
+        for x in (decided, one(self.links, "matched", F.sum("n"))):
             out = out.join(x.withColumn("one_", F.lit(1)), "one_")
         return out.drop("one_")
 
@@ -119,7 +128,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: Sequence[tuple[str,
     for k in keys:
         known = known & F.col(k).isNotNull()
     stored = [materialize(s.filter((F.col("t") != "") & known), "similar-rows") for s in sides]
-    rows = stored[0].drop("row").unionAll(stored[1].drop("row"))
+    classes = [materialize(s.groupBy("side", *keys, "t").agg(F.count("*").alias("rows_")).withColumn("id", F.monotonically_increasing_id()), "similar-classes") for s in stored]
+    columns = ["side", "id", *keys, "t"]
+    rows = classes[0].select(*columns).unionAll(classes[1].select(*columns))
     short = ratio is not None and rows.filter(F.length("t") < 3).limit(1).count() > 0
     table = materialize(_ranked(rows, keys, ratio, short), "similar-ranked")
 
@@ -140,16 +151,22 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: Sequence[tuple[str,
     for w in ways[1:]:
         proposed = proposed.unionAll(w)
     flag = lambda w: F.max(F.col("way") == w)
-    candidates = materialize(proposed.groupBy(F.col("l_id").alias("left_row"), F.col("r_id").alias("right_row")).agg(flag("words").alias("words"), flag("part").alias("part"), flag("near").alias("near")), "similar-candidates")
+    met = proposed.groupBy(F.col("l_id").alias("left_row"), F.col("r_id").alias("right_row")).agg(flag("words").alias("words"), flag("part").alias("part"), flag("near").alias("near"))
+    a, b = (c.select(*[F.col(x).alias(tag + x) for x in ("id", *keys, "t", "rows_")]) for c, tag in zip(classes, ("l_", "r_")))
+    of = lambda df: df.join(a, F.col("left_row") == F.col("l_id")).join(b, F.col("right_row") == F.col("r_id"))
+    candidates = materialize(of(met).select("left_row", "right_row", (F.col("l_rows_") * F.col("r_rows_")).alias("n"), "words", "part", "near"), "similar-candidates")
 
-    a, b = (s.select(F.col("id").alias(tag + "id"), F.col("t").alias(tag + "t"), F.col("row").alias(tag + "row")) for s, tag in zip(stored, ("l_", "r_")))
-    both = candidates.join(a, F.col("left_row") == F.col("l_id")).join(b, F.col("right_row") == F.col("r_id"))
     words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda x: x != "")
-    both = both.withColumn("common", F.size(F.array_intersect(words("l_t"), words("r_t")))).withColumn("ratio", similarity("l_t", "r_t") if ratio is not None else F.lit(None).cast("double"))
+    both = of(candidates).withColumn("common", F.size(F.array_intersect(words("l_t"), words("r_t")))).withColumn("ratio", similarity("l_t", "r_t") if ratio is not None else F.lit(None).cast("double"))
     kept = both.filter(F.col("words") | F.col("part") | (F.col("ratio") >= (2.0 if ratio is None else ratio)))
-    blocks = rows.groupBy(*keys).agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r"))
+    near, far = [[tag + x for x in (*keys, "t")] for tag in ("l_", "r_")]
+    own, others = (s.select(*[F.col(x).alias(tag + x) for x in (*keys, "t")], F.col("id").alias(tag + "row_id"), F.col("row").alias(tag + "row")) for s, tag in zip(stored, ("l_", "r_")))
+    pairs = expand_pairs(own.select(*near, "l_row").join(kept, near).select("l_row", *far, F.col("r_rows_").alias("n_"), "common", "ratio"), others, far, "r_row_id")
+    members = [o.join(c, on).select(F.col(tag + "id").alias("class_"), F.col(tag + "row.*")) for o, c, on, tag in ((own, a, near, "l_"), (others, b, far, "r_"))]
+    blocks = stored[0].select("side", *keys).unionAll(stored[1].select("side", *keys)).groupBy(*keys).agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r"))
     discard(table)
-    return Similar(kept.select("l_row.*", "r_row.*", "common", "ratio"), candidates, blocks)
+    links = kept.select(F.col("left_row").alias("left_class"), F.col("right_row").alias("right_class"), "n", "common", "ratio")
+    return Similar(pairs.select("l_row.*", "r_row.*", "common", "ratio"), links, *members, candidates, blocks)
 
 
 def _contained(table: DataFrame, keys: list[str], side: int) -> DataFrame:

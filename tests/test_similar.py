@@ -89,3 +89,25 @@ def test_bounds_hold_for_random_texts():
         pairs = [[t[i : i + 2] for i in range(len(t) - 1)] for t in (f"\2{a}\3", f"\2{b}\3")]
         common = sum(min(pairs[0].count(g), pairs[1].count(g)) for g in set(pairs[0]))
         assert common >= 3 * m - size + 1
+
+
+def test_copies_are_compared_once(spark):
+    """300 copies of each of two names: four pairs of classes, and all pairs of rows from them."""
+    left = spark.range(601).select(F.col("id"), F.when(F.col("id") == 600, "odd").when(F.col("id") % 2 == 0, "red bolt").otherwise("red bold").alias("name"))
+    right = left.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
+    s = similar.similar_pairs(left, right, [], ("name", "other_name"))
+    assert s.candidates.count() == s.links.count() == 5 and s.pairs.distinct().count() == 4 * 300 * 300 + 1
+    (r,) = s.report().collect()
+    assert tuple(r) == (601 * 601, 360_001, 180_000, 360_001)
+    assert s.left.count() == 601 and s.left.select("class_").distinct().count() == 3
+
+
+def test_similar_parts_by_their_least_parts(spark):
+    from quillon.plans import carriers
+
+    rows = carriers.queries()["similar_parts"](spark, SF).collect()
+    least = {r.id: r.other for r in rows if r.row == "copy"}
+    links = {(r.id, r.other) for r in rows if r.row == "pair"}
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    parts = plain(part, "p_partkey", "p_brand", shorten_address("p_name"))
+    assert {(i, j) for i in least for j in least if (least[i], least[j]) in links} == {x[:2] for x in brute(parts, parts, 2, 0.72)}
