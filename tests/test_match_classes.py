@@ -57,3 +57,11 @@ def test_similar_names_are_linear(spark, copies):
     pairs = sorted((r.id, r.other, r.same, r.ratio) for r in rows.filter("row = 'pair'").collect())
     assert [p[:3] for p in pairs] == [(0, 0, True), (0, 1, False), (1, 0, False), (1, 1, True)]
     assert {(r.id, r.other) for r in rows.filter("row = 'copy'").collect()} == {(i, 999 if i == 999 else i % 2) for i in range(1000)}
+
+
+def test_best_blocked_ranks_classes_only(sides):
+    left, right = sides
+    score = lambda df: df.withColumn("s", F.col("size"))
+    got = match.best_blocked(left, right, BLOCK, NAMES, IDS, 3, [F.col("size"), -F.col("other")], score, [F.col("s"), -F.col("other")])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Window [row_number() windowspecdefinition(id#") == 0
