@@ -65,3 +65,18 @@ def test_best_blocked_ranks_classes_only(sides):
     got = match.best_blocked(left, right, BLOCK, NAMES, IDS, 3, [F.col("size"), -F.col("other")], score, [F.col("s"), -F.col("other")])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 2 and plan.count("Window [row_number() windowspecdefinition(id#") == 0
+
+
+def test_class_members_hold_every_key_once(sides):
+    left, _ = sides
+    got = match.class_members(left, ["b", "name"], "id", "ids", 4).collect()
+    want = {r.id: (r.b, r.name) for r in left.filter("b is not null and name is not null").collect()}
+    assert sorted(i for r in got for i in r.ids) == sorted(want)
+    assert all(want[i] == (r.b, r.name) for r in got for i in r.ids) and max(len(r.ids) for r in got) < 12
+
+
+def test_all_pairs_of_copies_are_not_joined_one_by_one(spark, copies):
+    rows = carriers.queries()["blocked_token_overlap"](spark, copies)
+    assert rows.count() == 999 * 998 and rows.distinct().count() == 999 * 998 and rows.filter("id = other").count() == 0
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().splitlines()[0].startswith("Project") and plan.toString().index("Generate") < plan.toString().index("Join")
