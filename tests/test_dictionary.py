@@ -68,3 +68,15 @@ def test_moves_to_the_end(spark):
     ring = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)], "s int, t int")
     assert {(r.t, r.cyclic) for r in parse.follow_moves(ring, "s", "t").collect()} == {(0, True)}
     assert parse.follow_moves(df.limit(0), "s", "t").count() == 0
+
+
+def test_a_worker_holds_few_texts_at_once(monkeypatch):
+    """Matches of a whole batch used to be Python objects at the same time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(dictionary, "PIECE", 10)
+    texts = ["a" * 4, None, "b" * 4, "", "c" * 30, "d", "e" * 9, "f"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["row", "t"])
+    got = [(p.column(0).to_pylist(), held) for p, held in dictionary._pieces([b, b.slice(0, 0)])]
+    assert [i for rows, _ in got for i in rows] == list(range(8)) and [t for _, held in got for t in held] == texts
+    assert [rows for rows, _ in got] == [[0, 1, 2, 3], [4], [5, 6], [7]]
