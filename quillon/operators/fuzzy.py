@@ -10,6 +10,8 @@ from quillon.sources.shared import materialize
 
 #: A word of a query may be off by this share of its length; shorter words have to be contained.
 SHARE, SHORTEST = 0.3, 3
+#: Pairs of a query and a set of words, counted first, that are broadcast to the texts; more are shuffled.
+COUNTED = 50_000
 
 
 def search_words(x) -> Column:
@@ -79,24 +81,27 @@ def fuzzy_search(texts: DataFrame, text: str, queries: DataFrame, query: str) ->
     within floor(0.3 * its length) edits of, a word of the text; words of under three letters have to be contained.
 
     The distinct words of the queries meet those of the texts by signatures, so no pair of query and text is looked at
-    that has no word in common so. Of a query's words, the one that the fewest texts fit proposes texts; the others
+    that has no word in common so, and texts of equal words are looked at once. Of a query's words, the one that the fewest texts fit proposes texts; the others
     are tested on these. A query without words fits any text and isn't paired (words_of_none); null and empty texts
     fit none; repeated rows are rows of their own.
     """
     row = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns])
     t = materialize(texts.select(F.monotonically_increasing_id().alias("t_id"), search_words(text).alias("t_words"), row(texts).alias("t_row")), "fuzzy-texts")
     q = materialize(queries.select(F.monotonically_increasing_id().alias("q_id"), search_words(query).alias("q_words"), row(queries).alias("q_row")).filter(F.size("q_words") > 0), "fuzzy-queries")
-    posted = t.select("t_id", F.explode("t_words").alias("w"))
-    vocabulary = materialize(posted.groupBy("w").agg(F.count("*").alias("df")), "fuzzy-words")
+    kinds = materialize(t.groupBy(F.array_sort("t_words").alias("words")).agg(F.count("*").alias("n")), "fuzzy-kinds")
+    posted = kinds.select("words", "n", F.explode("words").alias("w"))
+    vocabulary = materialize(posted.groupBy("w").agg(F.sum("n").alias("df")), "fuzzy-words")
     asked = q.select("q_id", F.explode("q_words").alias("q"))
     pairs = materialize(matching_words(asked.select("q").distinct(), vocabulary.select("w")), "fuzzy-pairs")
     cost = pairs.join(vocabulary, "w").groupBy("q").agg(F.sum("df").alias("cost"))
     # words that fit nothing make their query fit nothing: it has no driver then
     driver = asked.join(cost, "q", "left").groupBy("q_id").agg(F.min_by("q", F.struct("cost", "q")).alias("q"), F.min(F.col("cost").isNotNull()).alias("all")).filter("all").select("q_id", "q")
-    met = driver.join(pairs, "q").join(posted, "w").select("q_id", "t_id").distinct()
-    both = met.join(q, "q_id").join(t, "t_id")
-    fits = F.forall("q_words", lambda a: F.exists("t_words", lambda b: word_fits(a, b)))
-    return both.filter(fits).select("q_row.*", "t_row.*")
+    # a query meets words at the first that its driver fits, so no set of pairs is held to make them distinct
+    met = driver.join(pairs, "q").join(posted, "w").filter(F.col("w") == F.element_at(F.filter("words", lambda b: word_fits(F.col("q"), b)), 1))
+    fits = F.forall("q_words", lambda a: F.exists("words", lambda b: word_fits(a, b)))
+    met = materialize(met.join(q, "q_id").filter(fits).select("q_id", "words"), "fuzzy-met")
+    few = met.count() <= COUNTED
+    return t.join(F.broadcast(met) if few else met, F.array_sort("t_words") == F.col("words")).join(q, "q_id").select("q_row.*", "t_row.*")
 
 
 def words_of_none(queries: DataFrame, query: str) -> DataFrame:

@@ -69,3 +69,14 @@ def test_benchmark_words_against_parts(spark):
     names = [tuple(r) for r in part.collect()]
     want = sorted((a, k) for a in (r.word for r in asked.collect()) for k, n in names if fits(n, a))
     assert sorted((r.word, r.p_partkey) for r in fuzzy.fuzzy_search(part, "p_name", asked, "word").collect()) == want and want
+
+
+def test_texts_of_equal_words_are_searched_once(spark, monkeypatch):
+    """Repeated texts come out once each, and no set of (query, text) pairs is aggregated to make them distinct."""
+    texts = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "Red bolts, bolt").when(F.col("id") % 3 == 1, "bolt red BOLTS").otherwise("").alias("text"))
+    asked = spark.createDataFrame([(1, "bolt"), (2, "red bolts"), (3, "bolt"), (4, "gasket")], "no int, query string")
+    for most in (50_000, 0):  # broadcast and shuffled
+        monkeypatch.setattr(fuzzy, "COUNTED", most)
+        got = fuzzy.fuzzy_search(texts, "text", asked, "query")
+        assert sorted((r.no, r.id) for r in got.collect()) == [(n, i) for n in (1, 2, 3) for i in range(300) if i % 3 < 2]
+        assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
