@@ -82,11 +82,17 @@ def span_text(n: Column, first: Column, last: Column, none: str = "") -> Column:
     return F.when(n == 0, none).when(n == 1, first.cast("string")).otherwise(F.concat(n.cast("string"), F.lit(" dates, "), first.cast("string"), F.lit(" to "), last.cast("string")))
 
 
-def closest_slot(slots: DataFrame, preferred: str, *by: str, keep: tuple[str, ...] = ("date", "time", "seats")) -> DataFrame:
-    """The slot nearest to a time of day in each group; ties by date, then time."""
+def closest(preferred: str, keep: tuple[str, ...] = ("date", "time", "seats")) -> tuple[Column, Column]:
+    """Aggregates over slots: minutes of the nearest to a time of day, and its struct of `keep`; ties by date, then time."""
     away = F.abs(minutes_of("time") - minutes_of(F.lit(preferred)))
     far = F.coalesce(away, F.lit(1 << 30))
-    return slots.groupBy(*by).agg(F.min_by(F.struct(*keep), F.struct(far, F.col("date"), F.col("time"))).alias("s"), F.min(away).alias("minutes_away")).select(*by, "s.*", "minutes_away")
+    return F.min(away), F.min_by(F.struct(*keep), F.struct(far, F.col("date"), F.col("time")))
+
+
+def closest_slot(slots: DataFrame, preferred: str, *by: str, keep: tuple[str, ...] = ("date", "time", "seats")) -> DataFrame:
+    """The slot nearest to a time of day in each group; ties by date, then time."""
+    away, nearest = closest(preferred, keep)
+    return slots.groupBy(*by).agg(nearest.alias("s"), away.alias("minutes_away")).select(*by, "s.*", "minutes_away")
 
 
 def month_calendar(slots: DataFrame, month: str, date: str = "date") -> DataFrame:

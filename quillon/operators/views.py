@@ -13,7 +13,7 @@ from quillon.operators import rules
 from quillon.operators.facets import at_least, equals, facet_filter, ranked
 from quillon.operators.lookup import with_rating
 from quillon.operators.ranges import stay_status
-from quillon.operators.slots import availability_key, closest_slot, slot_predicate, span_text
+from quillon.operators.slots import availability_key, closest, slot_predicate, span_text
 
 
 @dataclass(frozen=True)
@@ -70,14 +70,15 @@ def slot_venues(venues: DataFrame, slots: DataFrame, key: str, status: str, stal
     """Venues with availability, n_slots, span and the slot nearest to a preferred time, ranked: available first,
     then by distance in time, then by name. Slot filters without an availability facet show available venues only."""
     fits = slots.filter(slot_predicate(**slot_filters))
-    n = fits.groupBy(F.col(key).alias("k_")).agg(F.count("*").alias("n_"), F.countDistinct("date").alias("d_"), F.min("date").alias("a_"), F.max("date").alias("z_"))
-    near = closest_slot(fits, preferred or "19:00", key, keep=("date", "time")).select(F.col(key).alias("c_"), F.col("date").alias("next_date"), F.col("time").alias("next_time"), "minutes_away")
-    rows = venues.join(n, F.col(key) == F.col("k_"), "left").join(near, F.col(key) == F.col("c_"), "left")
+    away, nearest = closest(preferred or "19:00", ("date", "time"))
+    n = fits.groupBy(F.col(key).alias("k_")).agg(F.count("*").alias("n_"), F.countDistinct("date").alias("d_"), F.min("date").alias("a_"), F.max("date").alias("z_"), nearest.alias("s_"), away.alias("minutes_away"))
+    rows = venues.join(n, F.col(key) == F.col("k_"), "left").withColumns({"next_date": F.col("s_.date"), "next_time": F.col("s_.time")})
     rows = rows.withColumns({"n_slots": F.coalesce("n_", F.lit(0)), "availability": availability_key(status, F.coalesce("n_", F.lit(0)), stale), "span": span_text(F.coalesce("d_", F.lit(0)), F.col("a_"), F.col("z_"))})
     wanted = availability or ("available" if any(v for v in slot_filters.values()) else "")
-    rows = facet_filter(rows, equals("availability", wanted)).drop("k_", "n_", "d_", "a_", "z_", "c_")
+    rows = facet_filter(rows, equals("availability", wanted)).drop("k_", "n_", "d_", "a_", "z_", "s_")
     rank = F.when(F.col("availability") == "available", 0).when(F.col("availability") == "stale", 1).when(F.col("availability") == "no_seats", 2).otherwise(3)
-    return rows.orderBy(rank, F.coalesce("minutes_away", F.lit(1 << 30)), order, key)
+    # stored by a shuffle: the sort samples its input first, which would count all slots a second time
+    return rows.repartition(key, order).orderBy(rank, F.coalesce("minutes_away", F.lit(1 << 30)), order, key)
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

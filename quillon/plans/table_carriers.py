@@ -20,7 +20,9 @@ def _inventory(t: Tables):
     """One availability struct per order and return flag, with nested slots: what an inventory file holds."""
     meal = F.when(F.col("l_returnflag") == "A", "lunch").when(F.col("l_returnflag") == "N", "dinner").otherwise("tea")
     slot = F.struct(F.to_date("l_shipdate").alias("date"), F.format_string("%02d:%02d", (F.col("l_suppkey") % 24).cast("int"), (F.col("l_partkey") % 60).cast("int")).alias("time"), F.lit("").alias("meal"), F.array(F.col("l_quantity").cast("int").cast("string"), F.lit("x")).alias("available_seats"), F.lit(0).alias("max_seats"), F.lit(0).alias("total_available_seats"))
-    return t.lineitem.groupBy("l_orderkey", meal.alias("m")).agg(F.collect_list(slot).alias("s"), F.max("l_linestatus").alias("state")).select("l_orderkey", F.struct(F.when(F.col("state") == "O", "available").otherwise("no_seats").alias("status"), F.col("m").alias("meal"), F.lit(None).cast("date").alias("date"), F.array().cast("array<date>").alias("dates"), F.array().cast("array<string>").alias("times"), F.lit(0).alias("seats"), F.lit(0).alias("max_seats"), F.col("s").alias("slots")).alias("meal"))
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
+    # dealt by order while rows are short: all that follows by order, or order and meal, needs no other shuffle
+    return lines.repartition("l_orderkey").groupBy("l_orderkey", meal.alias("m")).agg(F.collect_list(slot).alias("s"), F.max("l_linestatus").alias("state")).select("l_orderkey", F.struct(F.when(F.col("state") == "O", "available").otherwise("no_seats").alias("status"), F.col("m").alias("meal"), F.lit(None).cast("date").alias("date"), F.array().cast("array<date>").alias("dates"), F.array().cast("array<string>").alias("times"), F.lit(0).alias("seats"), F.lit(0).alias("max_seats"), F.col("s").alias("slots")).alias("meal"))
 
 
 def _flat(t: Tables):
@@ -67,9 +69,10 @@ def month_calendar(t):
 
 @carrier(f"WITH {_FLAT} SELECT l_orderkey, CASE WHEN bool_or(open) AND bool_or(open AND seats >= 30) THEN 'available' ELSE 'no_seats' END AS availability FROM f GROUP BY 1")
 def availability_status(t):
-    flat = _flat(t).groupBy("l_orderkey").agg(F.count_if(F.col("seats") >= 30).alias("n"))
-    status = _inventory(t).groupBy("l_orderkey").agg(F.when(F.bool_or(F.col("meal.status") == "available"), "live_available").otherwise("no_seats").alias("status"))
-    return status.join(flat, "l_orderkey", "left").select("l_orderkey", slots.availability_key("status", F.coalesce("n", F.lit(0)), F.lit(False)).alias("availability"))
+    fitting = F.size(F.filter(slots.meal_slots("meal"), lambda s: s["seats"] >= 30))
+    meals = _inventory(t).select("l_orderkey", F.col("meal.status").alias("status"), fitting.alias("n"))
+    status = F.when(F.bool_or(F.col("status") == "available"), "live_available").otherwise("no_seats")
+    return meals.groupBy("l_orderkey").agg(slots.availability_key(status, F.sum("n"), F.lit(False)).alias("availability"))
 
 
 @carrier("SELECT s_suppkey, CASE WHEN bool_or(l_shipdate::DATE < DATE '1997-03-10' AND DATE '1997-03-01' < l_shipdate::DATE + 4) THEN 'blocked' WHEN count(l_shipdate) = 0 THEN 'subject_to_availability' ELSE 'not_blocked' END AS status FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
