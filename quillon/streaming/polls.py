@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 #: Microseconds after a poll in which another is skipped, and after which a result counts as stale.
 GUARD, STALE = 60 * 1_000_000, 30 * 60 * 1_000_000
-OUT = "key string, event string, at timestamp, seq long, value string"
+OUT = "key string, event string, us long, seq long, value string"
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def step(s: State, at: int, seq: int, ok: bool, force: bool, busy: int, value: s
 
 
 def poll_processor(guard: int = GUARD, stale: int = STALE):
-    """StatefulProcessor over polls (key, at, seq, ok, force, busy_ms, value): step() in the order of (at, seq), with
+    """StatefulProcessor over polls (key, us, seq, ok, force, busy_ms, value): step() in the order of (us, seq), with
     one value state a key and one timer, at which a result that no poll replaced becomes stale."""
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -62,27 +62,27 @@ def poll_processor(guard: int = GUARD, stale: int = STALE):
             self.handle = handle
             self.state = handle.getValueState("polls", "last long, until long, checked long, seq long, value string, stale boolean")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
             s, out = self._get(), []
-            before = s.checked
-            for r in pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable").itertuples():
-                at = r.at.value // 1000
-                s, events = step(s, at, int(r.seq), _true(r.ok), _true(r.force), 1000 * int(r.busy_ms), None if pd.isna(r.value) else str(r.value), guard, stale)
+            before, waited = s.checked, s.checked is not None and not s.stale
+            for r in sorted(rows, key=lambda r: (r.us, r.seq)):
+                s, events = step(s, r.us, r.seq, bool(r.ok), bool(r.force), 1000 * r.busy_ms, r.value, guard, stale)
                 out += events
             self._put(s)
             if s.checked != before or s.stale:
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
+                if waited:  # else the key has no timer
+                    for t in list(self.handle.listTimers()):
+                        self.handle.deleteTimer(t)
                 if s.checked is not None and not s.stale:
                     self.handle.registerTimer(-(-(s.checked + stale) // 1000))
-            yield self._frame(key, out)
+            return self._rows(key, out)
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             s, out = self._get(), []
             if s.checked is not None and not s.stale and -(-(s.checked + stale) // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
                 out = [("stale", s.checked + stale, s.seq, s.value)]
                 self._put(replace(s, stale=True))
-            yield self._frame(key, out)
+            return self._rows(key, out)
 
         def close(self) -> None:
             pass
@@ -93,17 +93,12 @@ def poll_processor(guard: int = GUARD, stale: int = STALE):
         def _put(self, s: State) -> None:
             self.state.update((s.last, s.until, s.checked, s.seq, s.value, s.stale))
 
-        def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
-            event, at, seq, value = zip(*out) if out else ((), (), (), ())
-            return pd.DataFrame({"key": pd.Series([key[0]] * len(event), dtype=object), "event": pd.Series(event, dtype=object), "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="us", utc=True), "seq": pd.Series(seq, dtype="Int64"), "value": pd.Series(value, dtype=object)})
+        def _rows(self, key, out: list[tuple]) -> Iterator[Row]:
+            return iter([Row(key=key[0], event=event, us=us, seq=seq, value=value) for event, us, seq, value in out])
 
     return Polls()
 
 
-def _true(x) -> bool:
-    return False if pd.isna(x) else bool(x)
-
-
 def stream_polls(polls: DataFrame, time_mode: str = "EventTime", delay: str = "0 seconds", guard: int = GUARD, stale: int = STALE) -> DataFrame:
     """Streaming polls (key string, at timestamp, seq long, ok boolean, force boolean, busy_ms long, value string) ->
     events (key, event, at, seq, value): fresh, kept, soon, in_flight, late and stale; see step().
@@ -113,10 +108,11 @@ def stream_polls(polls: DataFrame, time_mode: str = "EventTime", delay: str = "0
     a micro-batch's rows of one key are sorted in one task, so bound micro-batches (maxFilesPerTrigger) where a
     key's backlog is long. Needs the RocksDB state store (rocksdb()).
     """
-    rows = polls.select("key", "at", "seq", "ok", "force", "busy_ms", "value")
+    rows = polls.select("key", "at", F.unix_micros("at").alias("us"), "seq", "ok", "force", "busy_ms", "value")
     if time_mode == "EventTime":
         rows = rows.withWatermark("at", delay)
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=poll_processor(guard, stale), outputStructType=OUT, outputMode="Append", timeMode=time_mode)
+    events = rows.groupBy("key").transformWithState(statefulProcessor=poll_processor(guard, stale), outputStructType=OUT, outputMode="Append", timeMode=time_mode)
+    return events.select("key", "event", F.timestamp_micros("us").alias("at"), "seq", "value")
 
 
 @contextmanager
