@@ -120,31 +120,42 @@ SOURCE_POINTS = {"meta": 18, "og:description": 16, "twitter:description": 14, "j
 
 
 def _any(text: Column, words) -> Column:
-    """Whether any of the words occurs: one pattern, so the generated code stays small."""
-    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
+    """Whether any of the words occurs: searched one by one, as a pattern of them all tries each at every letter."""
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
 
 
-def meaningful_text(text, title, name) -> Column:
-    """At least eight words; no notice, no opening hours or digits without a content word, no address, no two weekdays
-    or clock times, and neither the title nor the name itself."""
-    t = compact_space(text)
-    low, same = F.lower(t), lambda other: F.lower(compact_space(other))
-    padded, content = F.concat(F.lit(" "), low, F.lit(" ")), _any(low, CONTENT_WORDS)
+def _folded(x) -> Column:
+    return F.lower(compact_space(x))
+
+
+def _says(t: Column, low: Column, content: Column, title: Column, name: Column) -> Column:
+    """meaningful_text of a compact text t, its lower case, whether it has a content word, and folded title and name."""
+    padded = F.concat(F.lit(" "), low, F.lit(" "))
     n_digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
     days = F.regexp_count(low, F.lit(r"\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"))
     clocks = F.regexp_count(low, F.lit(r"\b[0-9]{1,2}(?::[0-9]{2})?\s*(?:am|pm)\b"))
     bad = _any(low, NOTICE_WORDS) | (_any(padded, HOURS_WORDS) & ~content) | (days >= 2) | (clocks >= 2) | (_any(padded, ADDRESS_WORDS) & (n_digits >= 3)) | ((n_digits >= 8) & ~content)
-    return (F.size(F.split(t, " ")) >= 8) & ~bad & (low != same(title)) & (low != same(name))
+    return (F.size(F.split(t, " ")) >= 8) & ~bad & (low != title) & (low != name)
+
+
+def meaningful_text(text, title, name) -> Column:
+    """At least eight words; no notice, no opening hours or digits without a content word, no address, no two weekdays
+    or clock times, and neither the title nor the name itself."""
+    return _says(compact_space(text), _folded(text), _any(_folded(text), CONTENT_WORDS), _folded(title), _folded(name))
+
+
+def _points(t: Column, low: Column, content: Column, title: Column, name: Column, bonus: float | Column) -> Column:
+    """text_score of what _says takes."""
+    words = F.size(F.split(t, " "))
+    score = F.lit(20) + bonus + F.when(content, 10).otherwise(0) + F.when((name != "") & low.contains(name), 3).otherwise(0)
+    score = score + F.when(words.between(10, 45), 8).when(words > 80, -6).otherwise(0)
+    return F.when(_says(t, low, content, title, name), score).otherwise(-100).cast("double")
 
 
 def text_score(text, title, name, bonus: float | Column = 0.0) -> Column:
     """Score of a text candidate, -100 if it says nothing: 20, the source's points, 10 for a content word, 3 for the
     record's name, 8 for 10 to 45 words, -6 beyond 80."""
-    t = compact_space(text)
-    low, words, own = F.lower(t), F.size(F.split(t, " ")), F.lower(compact_space(name))
-    score = F.lit(20) + bonus + F.when(_any(low, CONTENT_WORDS), 10).otherwise(0) + F.when((own != "") & low.contains(own), 3).otherwise(0)
-    score = score + F.when(words.between(10, 45), 8).when(words > 80, -6).otherwise(0)
-    return F.when(meaningful_text(text, title, name), score).otherwise(-100).cast("double")
+    return _points(compact_space(text), _folded(text), _any(_folded(text), CONTENT_WORDS), _folded(title), _folded(name), bonus)
 
 
 def page_score(title, description, cuisines, keywords, headings, score, url) -> Column:
@@ -162,8 +173,12 @@ def best_text(pages: DataFrame, key: str, title: str, name: Column, candidates:
         return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.struct(F.lit(source).alias("source"), t.alias("text"), F.lit(bonus).alias("bonus")))
 
     items = F.concat(*[tagged(s, c, b) for s, (c, b) in candidates.items()])
-    rows = pages.select(key, F.col(title).alias("title_"), name.alias("name_"), F.posexplode(items).alias("i", "c")).withColumn("score", text_score("c.text", "title_", "name_", F.col("c.bonus"))).filter("score > -100")
-    return rows.groupBy(key).agg(F.max_by(F.struct("c.source", "c.text", "score"), F.struct("score", -F.col("i"))).alias("b")).select(key, "b.*")
+    rows = pages.withColumns({"title_": _folded(title), "name_": _folded(name)}).select(key, "title_", "name_", F.posexplode(items).alias("i", "c"))
+    # step by step, and with no filter on the score below the aggregate: what Spark pushes down it computes once a use
+    steps = rows.withColumn("t_", compact_space("c.text")).withColumn("low_", F.lower("t_")).withColumn("content_", _any(F.col("low_"), CONTENT_WORDS))
+    scored = steps.withColumn("score", _points(*[F.col(c) for c in ("t_", "low_", "content_", "title_", "name_")], F.col("c.bonus")))
+    best = scored.groupBy(key).agg(F.max_by(F.struct("c.source", "c.text", "score"), F.struct("score", -F.col("i"))).alias("b"))
+    return best.filter("b.score > -100").select(key, "b.*")
 
 
 #: First character of each column in the fixed-width listing.
