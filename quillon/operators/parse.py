@@ -70,6 +70,14 @@ def html_signals(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "description", "keywords", "headings", "paragraphs", "jsonld"])
 
 
+def raw_title(page) -> Column:
+    """What stands between a page's first <title> and the </title> after it, undecoded; "" if there is none, null for null."""
+    start, end = "<title>", "</title>"
+    rest = F.substr(_c(page), F.locate(start, _c(page)) + len(start))
+    found = F.contains(_c(page), F.lit(start)) & F.contains(rest, F.lit(end))
+    return F.when(_c(page).isNotNull(), F.when(found, F.substring_index(rest, end, 1)).otherwise(""))
+
+
 def _walk(node, out):
     if isinstance(node, dict):
         out.append(node)
